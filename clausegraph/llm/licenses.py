@@ -93,8 +93,7 @@ class Automaton:
                 return True
             after = set()
             for s in now:
-                after |= self.loose[s]
-                after |= self.step[s].get(w, ())
+                after.update(self.loose[s], self.step[s].get(w, ()))
             now = self._closed(after) | self.start if after else self.start
         return self.final in now
 
