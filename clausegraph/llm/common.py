@@ -102,3 +102,17 @@ def slices(batch: pa.RecordBatch, most: int = 24 << 20) -> Iterator[pa.RecordBat
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(","))])
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
+    """The rows whose text `keep` tells to keep, whole and with all their columns, without a shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            both = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), texts], names=["at", "text"])
+            kept = [k for part in slices(both) for k in keep(part.column(1).to_pylist())]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

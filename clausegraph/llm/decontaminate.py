@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_and_bytes, slices, words
+from .common import arrow_schema, id_and_bytes, keep_rows, slices, words
 
 SHARD = 1 << 20  #: symbols of a shard
 SAMPLE = 8  #: every so many positions are sampled
@@ -221,20 +221,26 @@ def without(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, text[end:]])
 
 
+def phrase_blocks(benchmark: DataFrame, size: int) -> Iterator[Phrases]:
+    """The phrases of the benchmark, in blocks of about BLOCK_BYTES of its text; its size is checked first."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for block in range(blocks):
+        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield Phrases([(r.item_id, None if r.text is None else bytes(r.text)) for r in own.sort("item_id", "text").collect()], size)
+
+
 def removal_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, cut: bool = False) -> DataFrame:
     """doc_id, n_words, spans (array<long> of starts and ends in words), items (array<string>) and, with `cut`, text without the spans.
 
     A pass carries at most about BLOCK_BYTES of benchmark text to the executors, as checked; larger benchmarks are dealt
     by hash into several passes over the documents, whose spans and items are merged document by document."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     schema = "doc_id long,text binary,n_words long,spans array<long>,items array<string>"
     df = id_and_bytes(docs).selectExpr("doc_id", "text", "0L AS n_words", "CAST(array() AS array<long>) AS spans", "CAST(array() AS array<string>) AS items")
-    for block in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        phrases = Phrases([(r.item_id, bytes(r.text) if r.text is not None else None) for r in own.sort("item_id", "text").collect()], size)
-        df = df.mapInArrow(_pass(phrases, block == blocks - 1, cut), schema)
+    blocks = list(phrase_blocks(benchmark, size))
+    for phrases in blocks:
+        df = df.mapInArrow(_pass(phrases, phrases is blocks[-1], cut), schema)
     return df if cut else df.drop("text")
 
 
@@ -261,3 +267,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows whose text holds no phrase, with all their columns."""
+    for phrases in phrase_blocks(benchmark, size):
+        docs = keep_rows(docs, lambda texts, p=phrases: [not s for s in p.scan(texts, [[]] * len(texts), [[]] * len(texts))[1]])
+    return docs
