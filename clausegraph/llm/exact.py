@@ -70,7 +70,8 @@ def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> D
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).distinct()
-    marked = docs.withColumns({"__id0": F.col("doc_id").cast("long"), "__raw0": F.xxhash64("text")})
-    staying = marked.join(kept, F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__raw0") == F.col("__raw")), "left_semi")
-    return staying.dropDuplicates(["__id0", "__raw0"]).drop("__id0", "__raw0")
+    # A null id gets a number of its own kind, so that both the join and the last step keep to one partitioning.
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    kept = exact_groups(docs).where("kept").select(number.alias("__id"), F.col("raw").alias("__raw")).distinct()
+    marked = docs.withColumns({"__id": number, "__raw": F.xxhash64("text")})
+    return marked.join(kept, ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).drop("__id", "__raw")

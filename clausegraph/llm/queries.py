@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import new_path, table
 from .decontaminate import decontaminate
 from .exact import exact_groups
 from .language import identify
 from .licenses import license_scan
+from .ngram_scores import stupid_backoff
 from .pieces import encode_digests
 from .pii import find_personal_data
 from .quality import quality_scores
+from .shards import placement_sql, sharded
 from .simhash import near_groups
 
 
@@ -33,6 +35,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -53,12 +63,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_decontamination, op6_simhash, op7_language, op8_exact_dedup, op9_quality, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_decontamination, op4_sharding, op5_lm_scores, op6_simhash, op7_language, op8_exact_dedup, op9_quality, op10_license_scan)}
 
 #: A-Z to lower case, other characters as they are.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op4_sharding": placement_sql(),
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
