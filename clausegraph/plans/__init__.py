@@ -1 +1,4 @@
+"""Queries of the library; importing this package registers them."""
 
+from . import ingest  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
