@@ -28,6 +28,7 @@ ARRIVAL_ROWS = 4096  #: ids of an arrival
 TARGET_BYTES = 128 << 20  #: text of a shard file
 TIER_BYTES = 4 << 20  #: runs up to FAN_IN times this are the lowest tier
 FAN_IN = 4
+BROADCAST_ROWS = 200_000  #: runs or shards (some 50 bytes each) sent to every executor; more of them are joined by a shuffle
 
 TEXT_BYTES = "coalesce(octet_length(text), 0)"
 
@@ -41,6 +42,11 @@ def tier(bytes_: str = "bytes", lowest: int = TIER_BYTES, fan_in: int = FAN_IN)
     return " + ".join(f"CASE WHEN {bytes_} >= {lowest * fan_in**k} THEN 1 ELSE 0 END" for k in range(1, 12))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """The table marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, path: str, target: int = TARGET_BYTES, lowest: int = TIER_BYTES, fan_in: int = FAN_IN):
         self.spark, self.path, self.target, self.lowest, self.fan_in = spark, path, target, lowest, fan_in
@@ -85,7 +91,7 @@ class ShardStore:
             rows = self.spark.read.option("basePath", f"{self.path}/data/{c}").parquet(f"{self.path}/data/{c}")
             rows = rows.withColumns({"run": F.col("run").cast("long"), "file": F.col("file").cast("long")})
             own = held.where(F.col("commit") == c).select("run", "file")
-            rows = rows.join(own, ["run", "file"], "left_semi")
+            rows = rows.join(small(own), ["run", "file"], "left_semi")
             found = rows if found is None else found.unionByName(rows)
         return found
 
@@ -129,7 +135,7 @@ class ShardStore:
         if moves.isEmpty():
             return version
         moves = moves.checkpoint()
-        rows = self.read(version).drop("file").join(moves, "run")
+        rows = self.read(version).drop("file").join(small(moves), "run")
         rows = rows.withColumn("file", F.expr("pmod(coalesce(doc_id, 0), files)")).drop("run", "files", "moved").withColumnRenamed("into", "run")
         shards = moves.select("into", "files").distinct().agg(F.sum("files")).first()[0]
         new = self._written(rows.repartition(int(min(100_000, max(shards, 1))), "run", "file"), commit)
@@ -155,7 +161,7 @@ def sharded(docs: DataFrame, path: str, arrival_rows: int = ARRIVAL_ROWS, **size
     rows = store.read()
     if rows is None:
         return docs.sparkSession.createDataFrame([], "doc_id long,run long,file long,shard_rows long,shard_bytes long,tier long")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "run", "file").join(held, ["run", "file"]).select("doc_id", "run", "file", "shard_rows", "shard_bytes", "tier")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "run", "file").join(small(held), ["run", "file"]).select("doc_id", "run", "file", "shard_rows", "shard_bytes", "tier")
 
 
 def placement_sql(arrival_rows: int = ARRIVAL_ROWS, target: int = TARGET_BYTES, lowest: int = TIER_BYTES, fan_in: int = FAN_IN, rounds: int = 14) -> str:
