@@ -43,6 +43,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers as planes of their first bytes, second bytes and so on: high planes are nearly all zero and compress away."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def numbers_of(blob: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, made = TaskContext.get().partitionId(), 0
     numbers: dict[bytes, int] = {}
@@ -52,7 +62,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)
         seq = np.concatenate([*sequence, np.zeros(0, np.int32)]).astype("<i4")
         return pa.RecordBatch.from_arrays(
-            [pa.array([task << 32 | made]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([hashes.tobytes()], pa.binary()), pa.array([seq.tobytes()], pa.binary()), pa.array([len(seq)])],
+            [pa.array([task << 32 | made]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([hashes.tobytes()], pa.binary()), pa.array([planes(seq)], pa.binary()), pa.array([len(seq)])],
             names=["chunk", "doc_ids", "lengths", "vocabulary", "sequence", "n_words"],
         )
 
@@ -75,7 +85,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keys(vocabulary: bytes, sequence: bytes, lengths: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order the positions at which an n-gram ends and the n-grams' hashes."""
-    h = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(sequence, "<i4")]
+    h = np.frombuffer(vocabulary, np.uint64)[numbers_of(sequence, "<i4")]
     inside = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out, key = [], mixed(h)
     for n in range(1, order + 1):
@@ -98,7 +108,7 @@ def _requests(order: int, bits: int):
                 for k in range(0, len(full), 64):
                     some = full[k : k + 64]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some)), pa.array([got[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()), pa.array([n[cuts[b] : cuts[b + 1]].astype("<u4").tobytes() for b in some], pa.binary())],
+                        [pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some)), pa.array([planes(np.diff(got[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))) for b in some], pa.binary()), pa.array([planes(n[cuts[b] : cuts[b + 1]].astype("<u4")) for b in some], pa.binary())],
                         names=["bucket", "chunk", "keys", "counts"],
                     )
 
@@ -108,12 +118,12 @@ def _requests(order: int, bits: int):
 def _answers(bucket: pa.Table) -> pa.Table:
     parts = bucket["keys"].to_pylist()
     sizes = np.array([len(p) // 8 for p in parts])
-    every = np.frombuffer(b"".join(parts), np.uint64)
-    counts = np.frombuffer(b"".join(bucket["counts"].to_pylist()), "<u4").astype(np.int64)
+    every = np.concatenate([np.cumsum(numbers_of(p, "<u8"), dtype=np.uint64) for p in parts])
+    counts = np.concatenate([numbers_of(p, "<u4") for p in bucket["counts"].to_pylist()])
     _, at = np.unique(every, return_inverse=True)
     sums = np.bincount(at, counts).astype("<u8")[at]
     edges = np.append(0, np.cumsum(sizes))
-    return pa.table({"chunk": bucket["chunk"], "bucket": bucket["bucket"], "sums": pa.array([sums[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+    return pa.table({"chunk": bucket["chunk"], "bucket": bucket["bucket"], "sums": pa.array([planes(sums[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())})
 
 
 def _scores(order: int, alpha: float, total: int):
@@ -122,7 +132,8 @@ def _scores(order: int, alpha: float, total: int):
         lengths = np.array(row["lengths"], np.int64)
         by_order = keys(row["vocabulary"], row["sequence"], lengths, order)
         distinct = np.unique(np.concatenate([k for _, k in by_order]))
-        sums = np.frombuffer(b"".join(s for _, s in sorted(zip(answers["bucket"].to_pylist(), answers["sums"].to_pylist()))), "<u8").astype(np.int64)
+        by_bucket = sorted(zip(answers["bucket"].to_pylist(), answers["sums"].to_pylist()))
+        sums = np.concatenate([numbers_of(s, "<u8") for _, s in by_bucket] or [np.zeros(0, "<u8")]).astype(np.int64)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         others: list[np.ndarray] = []
         for at, key in by_order:
