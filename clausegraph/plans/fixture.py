@@ -50,12 +50,12 @@ _EDGES = """SELECT DISTINCT doc_id, src, dst, etype FROM (
   ) e"""
 
 #: The first node of each key in a document stays.
-_UNIQUE = "SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY doc_id, node_key ORDER BY chunk_id, source_text, question_id, score) AS nth FROM keyed n) u WHERE nth = 1"
+_UNIQUE = "SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY doc_id, node_key ORDER BY chunk_id, source_text, question_id, score, definition, modal) AS nth FROM keyed n) u WHERE nth = 1"
 #: A question's 60 best nodes; index numbers them from 0.
 _SURVIVORS = """SELECT question_id, doc_id, node_key, type, chunk_id, score, party, term, definition, action, right_text, trigger, consequence, applies_to, source_text, value, unit, modal, ref_to, field, describes, context, idx,
     idx % 7 + 1 AS votes FROM (
   SELECT k.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_key) - 1 AS idx FROM (
-    SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY question_id, node_key ORDER BY score DESC, chunk_id, source_text) AS nth FROM keyed n) x WHERE nth = 1) k) r WHERE idx < 60"""
+    SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY question_id, node_key ORDER BY score DESC, chunk_id, source_text, definition, modal) AS nth FROM keyed n) x WHERE nth = 1) k) r WHERE idx < 60"""
 _SUBGRAPH = "SELECT DISTINCT s.question_id, s.idx AS i, t.idx AS j, e.etype, s.score AS si, t.score AS sj, s.type AS ti, t.type AS tj FROM edges e JOIN survivors s ON e.doc_id = s.doc_id AND e.src = s.node_key JOIN survivors t ON t.question_id = s.question_id AND e.dst = t.node_key"
 
 CTES = {
