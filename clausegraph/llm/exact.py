@@ -42,9 +42,13 @@ def _normal(first: int, whole: bool):
 
 def _split(rows: DataFrame, keys: DataFrame, depth: int) -> DataFrame:
     """Rows with the size and keeper of their group at this level; `normal` is left where the group is still open."""
-    groups = keys.groupBy("prefix").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-    open_ = (F.col("group_size") > 1) & (F.octet_length("prefix") >= depth)
-    return rows.join(groups, "prefix").select("doc_id", "raw", "text_sha256", "group_size", "keep_id", open_.alias("open"), F.when(open_, F.col("normal")).alias("normal"))
+    groups = keys.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where("n > 1")
+    # The key is computed anew, so that the join deals out both sides itself and a group's rows can go to several tasks.
+    groups = groups.select(F.substring("prefix", 1, (1 << 31) - 1).alias("prefix"), "n", "last")
+    open_ = F.col("n").isNotNull() & (F.octet_length("prefix") >= depth)
+    return rows.join(groups, "prefix", "left").select(
+        "doc_id", "raw", "text_sha256", F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("last")).alias("keep_id"), open_.alias("open"), F.when(open_, F.col("normal")).alias("normal")
+    )
 
 
 def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
