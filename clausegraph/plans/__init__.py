@@ -1,4 +1,4 @@
 """Queries of the library; importing this package registers them."""
 
-from . import graph, ingest, nodes, numerics, topology  # noqa: F401
+from . import answers, evaluation, graph, ingest, nodes, numerics, streams, topology  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
