@@ -18,10 +18,10 @@ def components(edges: DataFrame, u: str = "a", v: str = "b", most: int = 60) ->
     mark = _mark(now)
     for _ in range(most):
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "near")
-        least = both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("m"))
+        least = both.groupBy("node").agg(F.min("near").alias("m")).select(_anew("node"), F.least("node", "m").alias("m"))
         large = both.join(least, "node").where("near > node AND near > m").select(F.col("near").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least, "hi")
+        joined = large.join(least.select(_anew("hi"), "m"), "hi")
         small = joined.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo")))
         now = small.distinct().checkpoint()
         before, mark = mark, _mark(now)
@@ -32,5 +32,10 @@ def components(edges: DataFrame, u: str = "a", v: str = "b", most: int = 60) ->
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
 
 
+def _anew(key: str):
+    """The key, computed anew, so that a join deals out both sides itself and a node's edges can go to several tasks."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long")).alias(key)
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.pmod(F.xxhash64("lo", "hi"), F.lit(1 << 31)))).first())
