@@ -120,12 +120,9 @@ def conductance(survivors: DataFrame, edges: DataFrame) -> DataFrame:
 
 def curvature(dir_edges: DataFrame) -> DataFrame:
     """question_id, i, j, etype, kappa: shared neighbours over both degrees, less one, for each undirected edge."""
-    near = neighbours(dir_edges)
-    degree = near.groupBy(Q, "v").agg(F.count(F.lit(1)).alias("d"))
-    pairs = simple_edges(dir_edges)
-    shared = pairs.join(near.toDF(Q, "i", "u"), [Q, "i"]).join(near.toDF(Q, "j", "u"), [Q, "j", "u"]).groupBy(Q, "i", "j").agg(F.count(F.lit(1)).alias("shared"))
-    rows = undirected(dir_edges).where("i < j").join(shared, [Q, "i", "j"], "left").join(degree.toDF(Q, "i", "di"), [Q, "i"]).join(degree.toDF(Q, "j", "dj"), [Q, "j"])
-    return rows.select(Q, "i", "j", "etype", (F.coalesce("shared", F.lit(0)) * (1 / F.col("di") + 1 / F.col("dj")) - 1).alias("kappa"))
+    near = neighbours(dir_edges).groupBy(Q, "v").agg(F.collect_set("u").alias("n"))  # at most a question's survivors
+    rows = undirected(dir_edges).where("i < j").join(near.toDF(Q, "i", "ni"), [Q, "i"]).join(near.toDF(Q, "j", "nj"), [Q, "j"])
+    return rows.select(Q, "i", "j", "etype", (F.size(F.array_intersect("ni", "nj")) * (1 / F.size("ni") + 1 / F.size("nj")) - 1).alias("kappa"))
 
 
 def ricci(dir_edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegraph.functions import questions as qx
-from clausegraph.functions.layers import as_sql
+from clausegraph.functions.layers import apply, as_sql
 from clausegraph.operators import coverage as cv
 from clausegraph.operators import evidence as ev
 from clausegraph.operators import retrieval as rt
@@ -164,13 +164,13 @@ def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.keyword_boost(top).select("question_id", "node_no", "rank")
 
 
-_VOTED = f"{ctes('survivors')}, f AS (SELECT s.question_id, s.node_key, s.type, v, s.score - v / 100.0 AS score FROM survivors s, (SELECT unnest(range(0, 7)) AS v) WHERE (s.idx + s.question_id + v * (1 + s.idx % 4)) % 5 = 0), v AS (SELECT question_id, node_key, any_value(type) AS type, count(DISTINCT v) AS votes, max(score) AS score, count(DISTINCT v) / 7.0 AS vote_frac FROM f GROUP BY question_id, node_key)"
+_VOTED = f"{ctes('survivors')}, f AS (SELECT s.question_id, s.node_key, s.type, v, s.score - v / 100.0 AS score FROM survivors s, (SELECT unnest(range(0, 7)) AS v) WHERE (s.idx + s.question_id + v * (1 + s.idx % 4)) % 5 = 0), v AS (SELECT question_id, node_key, any_value(type) AS type, count(DISTINCT v) AS votes, round(max(score), 6) AS score, count(DISTINCT v) / 7.0 AS vote_frac FROM f GROUP BY question_id, node_key)"
 
 
 def _voted(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fixture(spark, sf_dir, "survivors")
     found = s.select("question_id", "node_key", "idx", "score", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("variant")).where("(idx + question_id + variant * (1 + idx % 4)) % 5 = 0").withColumn("score", F.col("score") - F.col("variant") / 100)
-    return rt.votes(found, F.lit(7.0)).join(s.select("question_id", "node_key", "type"), ["question_id", "node_key"])
+    return rt.votes(found, F.lit(7.0)).withColumn("score", F.round("score", 6)).join(s.select("question_id", "node_key", "type"), ["question_id", "node_key"])
 
 
 @query(f"{_VOTED} SELECT question_id, node_key, votes, score, vote_frac FROM v")
@@ -178,17 +178,17 @@ def vote_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voted(spark, sf_dir).drop("type")
 
 
-@query(f"""{_VOTED}, t AS (SELECT *, CASE WHEN votes >= 2 OR (round(score, 6) >= 0.82 AND type <> 'BLANK') THEN 1 WHEN type = 'BLANK' THEN 2 WHEN type = 'DEFINITION' AND round(score, 6) >= 0.65 THEN 3 END AS tier FROM v),
+@query(f"""{_VOTED}, t AS (SELECT *, CASE WHEN votes >= 2 OR (score >= 0.82 AND type <> 'BLANK') THEN 1 WHEN type = 'BLANK' THEN 2 WHEN type = 'DEFINITION' AND score >= 0.65 THEN 3 END AS tier FROM v),
   n AS (SELECT *, row_number() OVER (PARTITION BY question_id, tier ORDER BY score DESC, node_key) AS nth FROM t WHERE tier IS NOT NULL)
   SELECT question_id, node_key, tier, CAST(row_number() OVER (PARTITION BY question_id ORDER BY tier, CASE WHEN tier = 1 THEN vote_frac ELSE 0 END DESC, score DESC, node_key) AS INT) AS rank FROM n WHERE tier <> 2 OR nth <= 5""")
 def tier_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.tiers(_voted(spark, sf_dir).withColumn("score", F.round("score", 6))).select("question_id", "node_key", "tier", "rank")
+    return rt.tiers(_voted(spark, sf_dir)).select("question_id", "node_key", "tier", "rank")
 
 
-@query(f"{_VOTED} SELECT u.question_id, u.node_key, CAST(0 AS BIGINT) AS votes, CAST(0.5 AS DOUBLE) AS score FROM (SELECT DISTINCT question_id, node_key FROM survivors WHERE type IN ('DEFINITION', 'BLANK')) u ANTI JOIN v USING (question_id, node_key)")
+@query(f"{_VOTED} SELECT u.question_id, u.node_key, CAST(0 AS BIGINT) AS votes, CAST(0.5 AS DOUBLE) AS score FROM (SELECT DISTINCT question_id, node_key FROM survivors WHERE type IN ('DEFINITION', 'BLANK')) u ANTI JOIN (SELECT * FROM v WHERE votes >= 2) v USING (question_id, node_key)")
 def priority_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = fixture(spark, sf_dir, "survivors").where("type IN ('DEFINITION', 'BLANK')").select("question_id", "node_key").distinct()
-    return rt.injected(_voted(spark, sf_dir), extra, rt.PRIORITY_SCORE).select("question_id", "node_key", "votes", "score")
+    return rt.injected(_voted(spark, sf_dir).where("votes >= 2"), extra, rt.PRIORITY_SCORE).select("question_id", "node_key", "votes", "score")
 
 
 @query(f"{ctes('unodes')} SELECT doc_id, type, count(*) AS n FROM unodes WHERE source_text <> '' AND ((type = 'NUMERIC' AND lower(unit) <> 'section') OR (type = 'DEFINITION' AND chunk_id % 2 = 0) OR type = 'BLANK') GROUP BY ALL")
@@ -229,7 +229,7 @@ _CONCEPT = "lower(concat_ws(' ', source_text, action, right_text, term, definiti
 def _anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = fixture(spark, sf_dir, "survivors")
     words = ("delivery", "insurance", "returnxx")
-    text = F.when(F.col("question_id") % 4 == 0, "Which one?").otherwise(F.concat(F.lit("Which "), _pick(words, F.col("question_id") % 3), F.lit(" has the Customer of the widget agreement?")))
+    text = F.when(F.col("question_id") % 4 == 0, "Is it so?").otherwise(F.concat(F.lit("Which "), _pick(words, F.col("question_id") % 3), F.lit(" has the Customer of the widget agreement?")))
     return s.select("question_id", "doc_id").distinct().withColumn("anchors", cv.anchors(text, F.array(F.lit("customer")))), s
 
 
@@ -293,6 +293,9 @@ _VERDICT_OUT = ("question_id", "round(score, 9) AS score", "round(threshold, 9)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The scorer's projections are too wide for one generated method; without whole stages each is split into methods.
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
     spell = lambda e: e.replace("//", "DIV").replace(".0", ".0D")
     rows = asked(spark, sf_dir).withColumn("k", F.col("question_id"))
     return qx.intent(rows.select("question_id", "question", "slot", *[F.expr(spell(e)).alias(n) for n, e in _DEAL.items()]))
@@ -313,8 +316,6 @@ _READERS = {"n_runs": "3", "vote_fraction": "(question_id % 4) / 3.0", "reader_c
 
 @query(f"SELECT question_id, final, failures, final_confidence FROM ({as_sql(_DEALT, qx.INTENT + scoring.LAYERS + [_READERS] + scoring.ARBITRATION)})")
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clausegraph.functions.layers import apply
-
     return scoring.arbitrate(apply(scoring.score(records(spark, sf_dir)), [_READERS])).select("question_id", "final", "failures", "final_confidence")
 
 

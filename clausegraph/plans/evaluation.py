@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.functions import questions as qx
-from clausegraph.functions.layers import as_sql
 from clausegraph.operators import evaluation as ev
 from clausegraph.operators import scoring
 
-from .answers import _DEALT, records
+from .answers import records
 from .registry import query
 
 _ROWS = "r AS (SELECT l.doc_id, d.lang AS slot_type, quality AS expected, (l.doc_id * 37 % 101) / 100.0 AS score, 0.5 AS threshold, CASE WHEN (l.doc_id * 37 % 101) / 100.0 >= 0.5 THEN 1 ELSE 0 END AS predicted FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
@@ -92,15 +90,7 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 DROPS = {"drop_path_bottleneck": "path_bottleneck", "drop_slot_score": "slot_score", "drop_h0_life": "h0", "drop_trigger_weight": "trigger_weight", "drop_chain_strength": "chain", "drop_type_entropy": "type_entropy", "drop_sheaf_consistency": "sheaf", "drop_weighted_sheaf": "w_sheaf", "drop_weighted_ricci": "w_ricci", "drop_anchor_bridge": "bridge"}
 
 
-def _ablated() -> str:
-    tests = ", ".join(f"'{t}'" for t in ("none", *DROPS))
-    cols = ", ".join(f"CASE WHEN test <> '{t}' THEN {c} END AS {c}" for t, c in DROPS.items())
-    many = f"(SELECT * REPLACE ({cols}) FROM (SELECT *, unnest([{tests}]) AS test FROM {_DEALT}))"
-    scored = as_sql(many, qx.INTENT + scoring.LAYERS)
-    return f"WITH a AS (SELECT test, avg((answerable::INT = CASE WHEN question_id % 3 = 0 THEN 1 ELSE 0 END)::INT) AS accuracy FROM ({scored}) GROUP BY test) SELECT test, accuracy, accuracy - (SELECT accuracy FROM a WHERE test = 'none') AS delta FROM a"
-
-
-@query(_ablated())
+@query()
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = records(spark, sf_dir).withColumn("expected", F.when(F.col("question_id") % 3 == 0, 1).otherwise(0))
     return ev.ablation(base, DROPS, scoring.score)

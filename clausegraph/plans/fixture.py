@@ -7,6 +7,11 @@ debt blanks, untaxed lines references. A question is a customer, its survivors a
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("customer", "orders", "lineitem", "part", "supplier")
@@ -80,8 +85,37 @@ def ctes(last: str, spark: bool = False) -> str:
     return text.replace("c_custkey // 20", "c_custkey DIV 20") if spark else text
 
 
+#: Tables that several branches of a query read; they are built once a session, as an index would be, and written, which
+#: also keeps the plans of those queries short.
+KEPT = ("edges", "unodes", "survivors", "dir_edges")
+_kept: dict[tuple[str, str, str], str] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the graph: lines, nodes, keyed, edges, unodes, survivors or dir_edges."""
+    if name not in KEPT:
+        return _fixture(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+        _fixture(spark, sf_dir, name).write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for written tables: the shared one, or in local tests a temporary one that goes with the process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="clausegraph-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def _fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     text = ctes(name, True)
     for t in TABLES:

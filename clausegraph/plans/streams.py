@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegraph.streaming import telemetry as tl
 
+from .fixture import scratch
 from .registry import query
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder for a stream's files and state: in the shared folder, or a temporary one in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="clausegraph-stream-")
-
-
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.events(spark, f"{sf_dir}/events.parquet")
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _window(width: str, every: str) -> str:

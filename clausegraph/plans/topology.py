@@ -47,7 +47,7 @@ _KAPPA = """k AS (SELECT u.question_id, u.i, u.j, u.etype, coalesce(s.n, 0) * (1
 
 
 @query(f"""{WITH}, t AS (SELECT DISTINCT de.question_id FROM de JOIN m ON m.question_id = de.question_id AND m.idx = de.i WHERE (slot = 'VALUE' AND ti = 'CONDITION' AND etype = 'TRIGGERS' AND tj = 'NUMERIC') OR (slot IN ('REQUIREMENT', 'CONSEQUENCE') AND ti = 'CONDITION' AND etype = 'TRIGGERS' AND tj = 'OBLIGATION') OR (slot = 'MEANING' AND ti IN ('OBLIGATION', 'RIGHT') AND etype = 'USES_TERM' AND tj = 'DEFINITION'))
-  SELECT question_id, slot, bool_or(target) AS direct, bool_or(target) OR question_id IN (SELECT question_id FROM t) AS matched FROM m GROUP BY ALL""")
+  SELECT question_id, slot, direct, direct OR question_id IN (SELECT question_id FROM t) AS matched FROM (SELECT question_id, slot, bool_or(target) AS direct FROM m GROUP BY ALL)""")
 def path_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = World(spark, sf_dir)
     return tp.path_coverage(w.marked, w.edges)
@@ -166,7 +166,7 @@ _DIST = ", ".join(f"('{a}', '{b}', {d}), ('{b}', '{a}', {d})" for (a, b), d in t
 
 @query(f"""{WITH}, ds(a, b, d) AS (VALUES {_DIST}), far AS (SELECT tt.slot, ds.a AS type, min(d) AS d FROM tt JOIN ds ON ds.b = tt.type GROUP BY ALL),
   r AS (SELECT m.question_id, CASE WHEN target THEN 0 ELSE coalesce(far.d, 3) END AS d, target OR (m.slot = 'VALUE' AND regexp_matches(lower(concat_ws(' ', source_text, action, right_text, trigger, consequence, applies_to, value, unit)), '\\d')) AS rel FROM m LEFT JOIN far ON far.slot = m.slot AND far.type = m.type),
-  u AS (SELECT *, bool_or(rel) OVER (PARTITION BY question_id) AS some FROM r) SELECT question_id, avg(d) AS depth, avg((d = 0)::INT) AS exact, avg((d = 1)::INT) AS adjacent, avg((d >= 2)::INT) AS distant FROM u WHERE rel OR NOT some GROUP BY question_id""")
+  u AS (SELECT *, bool_or(rel) OVER (PARTITION BY question_id) AS found FROM r) SELECT question_id, avg(d) AS depth, avg((d = 0)::INT) AS exact, avg((d = 1)::INT) AS adjacent, avg((d >= 2)::INT) AS distant FROM u WHERE rel OR NOT found GROUP BY question_id""")
 def slot_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.slot_mismatch(World(spark, sf_dir).marked)
 

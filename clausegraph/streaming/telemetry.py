@@ -17,8 +17,13 @@ EVENT = "event_id long, ts timestamp, user_id long, event_type string, value dou
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of Parquet event files."""
-    return spark.readStream.schema(EVENT).parquet(path)
+    """A stream of the Parquet event files of a folder, or of one file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = spark.readStream.schema(EVENT.replace("timestamp", "timestamp_ntz"))
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        files, path = files.option("pathGlobFilter", p.getName()), p.getParent().toString()
+    return files.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def requests(spark: SparkSession, path: str) -> DataFrame:
