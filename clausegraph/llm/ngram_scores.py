@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import id_and_bytes, slices, words, written
 
 ORDER, ALPHA = 2, 0.4
-CHUNK = 3_000_000  #: words of a chunk, unless a document has more
-BUCKET = 1 << 22  #: n-grams of a bucket, about
+CHUNK = 1_500_000  #: words of a chunk, unless a document has more
+BUCKET = 1 << 20  #: n-grams of a bucket, about
 
 _CHUNK = "chunk long,doc_ids array<long>,lengths array<int>,vocabulary binary,sequence binary,n_words long"
 
@@ -53,9 +53,17 @@ def numbers_of(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, made = TaskContext.get().partitionId(), 0
-    numbers: dict[bytes, int] = {}
+    numbers = Numbers()
     ids, lengths, sequence, held = [], [], [], 0
 
     def chunk() -> pa.RecordBatch:
@@ -73,9 +81,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held and held + len(w) > CHUNK:
                     yield chunk()
                     made += 1
-                    numbers, ids, lengths, sequence, held = {}, [], [], [], 0
-                number = numbers.setdefault
-                sequence.append(np.array([number(x, len(numbers)) for x in w], np.int32))
+                    numbers, ids, lengths, sequence, held = Numbers(), [], [], [], 0
+                sequence.append(np.array([numbers[x] for x in w], np.int32))
                 ids.append(i)
                 lengths.append(len(w))
                 held += len(w)
@@ -116,14 +123,21 @@ def _requests(order: int, bits: int):
 
 
 def _answers(bucket: pa.Table) -> pa.Table:
-    parts = bucket["keys"].to_pylist()
-    sizes = np.array([len(p) // 8 for p in parts])
-    every = np.concatenate([np.cumsum(numbers_of(p, "<u8"), dtype=np.uint64) for p in parts])
-    counts = np.concatenate([numbers_of(p, "<u4") for p in bucket["counts"].to_pylist()])
-    _, at = np.unique(every, return_inverse=True)
-    sums = np.bincount(at, counts).astype("<u8")[at]
-    edges = np.append(0, np.cumsum(sizes))
-    return pa.table({"chunk": bucket["chunk"], "bucket": bucket["bucket"], "sums": pa.array([planes(sums[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())})
+    parts = [np.cumsum(numbers_of(p, "<u8"), dtype=np.uint64) for p in bucket["keys"].to_pylist()]
+    distinct = np.unique(np.concatenate(parts))
+    places = [np.searchsorted(distinct, p) for p in parts]
+    sums = np.zeros(len(distinct), "<u8")
+    for at, counts in zip(places, bucket["counts"].to_pylist()):
+        sums[at] += numbers_of(counts, "<u4")
+    return pa.table({"chunk": bucket["chunk"], "bucket": bucket["bucket"], "sums": pa.array([planes(sums[at]) for at in places], pa.binary())})
+
+
+def _runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by key, the keys in it, where runs of one key in one document begin, and how long they are."""
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
+    return order, key, first, np.diff(np.append(first, len(key)))
 
 
 def _scores(order: int, alpha: float, total: int):
@@ -131,16 +145,16 @@ def _scores(order: int, alpha: float, total: int):
         row = chunk.to_pylist()[0]
         lengths = np.array(row["lengths"], np.int64)
         by_order = keys(row["vocabulary"], row["sequence"], lengths, order)
-        distinct = np.unique(np.concatenate([k for _, k in by_order]))
         by_bucket = sorted(zip(answers["bucket"].to_pylist(), answers["sums"].to_pylist()))
         sums = np.concatenate([numbers_of(s, "<u8") for _, s in by_bucket] or [np.zeros(0, "<u8")]).astype(np.int64)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        runs = [_runs(key, doc[at]) for at, key in by_order]
+        distinct = np.unique(np.concatenate([key[first] for _, key, first, _ in runs]))
         others: list[np.ndarray] = []
-        for at, key in by_order:
-            number = np.searchsorted(distinct, key)
-            _, pair, own = np.unique(doc[at] * len(distinct) + number, return_inverse=True, return_counts=True)
+        for (at, _), (order_, key, first, own) in zip(by_order, runs):
             left = np.zeros(len(doc), np.int64)
-            left[at] = sums[number] - own[pair]
+            if len(first):
+                left[at[order_]] = np.repeat(sums[np.searchsorted(distinct, key[first])] - own, own)
             others.append(left)
         rest = np.maximum(1, total - lengths)[doc]
         score, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
