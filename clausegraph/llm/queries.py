@@ -10,10 +10,11 @@ from .exact import exact_groups
 from .language import identify
 from .licenses import license_scan
 from .ngram_scores import stupid_backoff
+from .oracles import ORACLES
 from .pieces import encode_digests
 from .pii import find_personal_data
 from .quality import quality_scores
-from .shards import placement_sql, sharded
+from .shards import sharded
 from .simhash import near_groups
 
 
@@ -65,14 +66,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_sentencepiece, op3_decontamination, op4_sharding, op5_lm_scores, op6_simhash, op7_language, op8_exact_dedup, op9_quality, op10_license_scan)}
 
-#: A-Z to lower case, other characters as they are.
-LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-ORACLES: dict[str, str] = {
-    "op4_sharding": placement_sql(),
-    "op8_exact_dedup": f"""
-        WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-        FROM d WINDOW w AS (PARTITION BY t)""",
-}
+__all__ = ["ORACLES", "QUERIES"]
