@@ -24,6 +24,7 @@ from .common import keep_rows, per_document, shared_dir
 TRAIN_DOCS = 4000  #: expected size of the training sample; at most twice as many are taken
 DIM = 4096  #: hashed features
 ROUNDS = 100
+LEAST_RATIO = 20  #: a vote for bad is at least so many times as likely on a bad document as on a good one
 THRESHOLD = 0.5  #: least score that is accepted
 
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -90,6 +91,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
                 tables[j, :, y] = np.bincount(v[:, j], w, 3) + 0.01
         tables /= tables[:, 1:].sum(axis=1, keepdims=True)
         tables[:, 0] = 1  # who abstains tells nothing
+        # A vote for bad is evidence of bad, or rare kinds of junk would settle as a habit of good documents.
+        tables[:, 1, 0] = np.maximum(tables[:, 1, 0], np.minimum(0.99, LEAST_RATIO * tables[:, 1, 1]))
+        tables[:, 2, 0] = 1 - tables[:, 1, 0]
         share = np.clip((counts * post).sum() / counts.sum(), 0.01, 0.99)
         logs = np.log([1 - share, share]) + sum(np.log(tables[j][v[:, j]]) for j in range(k))
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
