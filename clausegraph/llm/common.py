@@ -64,8 +64,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Documents can be long, so batches for Python are smaller than the default, unless the session has its own bound."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def id_and_bytes(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as UTF-8 bytes; other columns, whatever their names, stay behind."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
@@ -85,7 +92,7 @@ def per_document(docs: DataFrame, schema: str, work: Callable[[list[int | None],
     return id_and_bytes(docs).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of about `most` bytes of text (a longer text is a part of its own)."""
     col = batch.column(1)
     sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
@@ -107,6 +114,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def keep_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
     """The rows whose text `keep` tells to keep, whole and with all their columns, without a shuffle."""
     at = docs.columns.index("text")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

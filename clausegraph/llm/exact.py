@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 FIRST, GROWTH = 64, 8
 
@@ -53,6 +53,7 @@ def _split(rows: DataFrame, keys: DataFrame, depth: int) -> DataFrame:
 
 def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and raw (xxhash64 of the text as it stands, to find the row again)."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text"))
     keys = src.mapInArrow(_normal(first, False), "doc_id long,raw long,prefix binary")
     rows = src.mapInArrow(_normal(first, True), "doc_id long,raw long,prefix binary,text_sha256 string,normal binary")
