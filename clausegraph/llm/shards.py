@@ -112,9 +112,11 @@ class ShardStore:
         return self.commit(self.manifest(version).unionByName(new) if version else new, version + 1)
 
     def plan(self, version: int | None = None) -> DataFrame:
-        """run, into, files: the run that each run ends up in, and how many files that run has."""
-        runs = self.manifest(version).groupBy("run").agg(F.sum("bytes").alias("bytes"))
-        state = runs.select("run", F.col("run").alias("into"), "bytes", F.lit(False).alias("moved")).checkpoint()
+        """run, into, files, moved: the run that each run ends up in, how many files that has, and whether rows move.
+
+        A run that is still one file but larger than the target is split as well."""
+        runs = self.manifest(version).groupBy("run").agg(F.sum("bytes").alias("bytes"), (F.count(F.lit(1)) == 1).alias("whole"))
+        state = runs.select("run", F.col("run").alias("into"), "bytes", "whole", F.lit(False).alias("moved")).checkpoint()
         while True:
             now = state.groupBy("into").agg(F.sum("bytes").alias("bytes"), F.max("run").alias("last"))
             open_ = now.where(F.col("bytes") < self.target).withColumn("tier", F.expr(tier("bytes", self.lowest, self.fan_in)))
@@ -124,9 +126,9 @@ class ShardStore:
             moves = placed.join(full, ["tier", "batch"]).select("into", "new").checkpoint()
             if moves.isEmpty():
                 break
-            state = state.join(moves, "into", "left").select("run", F.coalesce("new", "into").alias("into"), "bytes", (F.col("moved") | F.col("new").isNotNull()).alias("moved")).checkpoint()
+            state = state.join(moves, "into", "left").select("run", F.coalesce("new", "into").alias("into"), "bytes", "whole", (F.col("moved") | F.col("new").isNotNull()).alias("moved")).checkpoint()
         files = state.groupBy("into").agg(F.greatest(F.lit(1), F.round(F.sum("bytes") / self.target)).cast("long").alias("files"))
-        return state.join(files, "into").select("run", "into", "files", "moved")
+        return state.join(files, "into").select("run", "into", "files", (F.col("moved") | (F.col("whole") & (F.col("files") > 1))).alias("moved"))
 
     def compact(self) -> int:
         """Merges the runs that the plan moves into target-sized files; runs that stay aren't rewritten."""
