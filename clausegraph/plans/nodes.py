@@ -74,8 +74,7 @@ def contract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{ctes('nodes')}, c AS (SELECT doc_id, chunk_id, source_text, trigger, consequence, lower(trigger || ' ' || consequence) AS t FROM nodes WHERE type = 'CONDITION'),
-  x AS (SELECT *, regexp_extract(trigger, '(\\d+) days', 1) AS value, 'days' AS unit, substring(trigger, 1, 120) AS applies_to, 2 AS place FROM c
-    UNION ALL SELECT *, regexp_extract(consequence, '(\\d+)%', 1), '%', substring(consequence, 1, 120), 8 FROM c),
+  x AS (SELECT *, regexp_extract(trigger, '(\\d+) days', 1) AS value, 'days' AS unit, substring(trigger, 1, 120) AS applies_to, 2 AS place FROM c),
   k AS (SELECT *, 'NUM::' || value || '::' || unit || '::' || substring(lower(applies_to), 1, 60) AS node_key FROM x WHERE value <> ''),
   f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, node_key ORDER BY chunk_id, source_text, trigger, place) AS nth FROM k) WHERE nth = 1)
   SELECT doc_id, unit, count(*) AS n, min(node_key) AS first_key, sum(CAST(value AS INT)) AS total FROM f GROUP BY ALL""")
