@@ -196,3 +196,32 @@ def asked_party(question: Column | str, parties: Column | str) -> Column:
     at = F.transform(F.filter(names, lambda p: F.contains(q, p)), lambda p: F.struct(F.instr(q, p).alias("at"), (-F.length(p)).alias("n"), p.alias("p")))
     first = F.get(F.array_sort(at), F.lit(0))["p"]
     return F.when((owner != "") & F.array_contains(names, owner), owner).when((subject != "") & F.array_contains(names, subject), subject).otherwise(F.coalesce(first, F.lit("")))
+
+
+#: Scores that a reader's intent and the words' intent both have.
+BLENDED = ("exact_intent", "simple_extract", "speculative", "outside_document", "missing_artifact", "instance_missing", "external_reference", "expects_rule", "outside_needed")
+#: Kinds that a reader may name.
+PROOFS = ("direct_rule_clause", "exact_value", "definition", "enumeration", "customer_instance_field", "external_artifact_contents", "mixed")
+FORMS = ("yes_no", "date", "number", "percent", "name", "list", "clause_text", "mixed")
+LANES = ("direct_rule", "exact_value", "dependency_risk", "speculative_outside", "mixed")
+
+
+def one_of(value: Column | str, allowed: tuple[str, ...], otherwise: str = "mixed") -> Column:
+    """The value if it is one of those allowed, in lower case."""
+    v = F.trim(F.lower(c(value)))
+    return F.when(v.isin(*allowed), v).otherwise(otherwise)
+
+
+def blend(intents: DataFrame, weight: float = 0.8) -> DataFrame:
+    """Intents with a reader's scores (columns said_<score>, null without a reader) mixed in, and its kinds where it names them.
+
+    A weight of 1 takes the reader alone; scores that a reader doesn't give stay as the words have them."""
+    mixed = {n: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.col(f"said_{n}").isNull(), F.col(n)).otherwise((1 - weight) * F.col(n) + weight * F.col(f"said_{n}")))) for n in BLENDED if f"said_{n}" in intents.columns}
+    kinds = {n: F.when(F.col(f"said_{n}").isNull(), F.col(n)).otherwise(one_of(f"said_{n}", allowed)) for n, allowed in (("proof", PROOFS), ("answer_form", FORMS)) if f"said_{n}" in intents.columns}
+    return intents.withColumns(mixed | kinds)
+
+
+def variants(question: Column | str, reply: Column | str, n: int = 6) -> Column:
+    """`n` variants of a question: the reply's lines that ask something, then the question itself as often as needed."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c(reply), F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("?")))
+    return F.slice(F.concat(lines, F.array_repeat(c(question), n)), 1, n)

@@ -141,3 +141,29 @@ def topic_chunks(chunks: DataFrame, topics: DataFrame, most: int = 3) -> DataFra
 def new_by_source(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes of a later pass whose source text the document's nodes don't have."""
     return found.join(nodes.select("doc_id", "source_text").distinct(), ["doc_id", "source_text"], "left_anti")
+
+
+def chunks_without_nodes(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Chunks that gave no node: what a second pass reads."""
+    return chunks.join(nodes.select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_anti")
+
+
+def extraction_batches(chunks: DataFrame, size: int = 3, most: int = 1500) -> DataFrame:
+    """doc_id, batch, text: `size` consecutive chunks of a document for each call, each cut to `most` characters."""
+    rows = chunks.select("doc_id", F.floor(F.col("chunk_id") / size).cast("long").alias("batch"), F.struct("chunk_id", F.substring("chunk_text", 1, most).alias("text")).alias("c"))
+    lines = F.transform(F.array_sort(F.collect_list("c")), lambda c: F.concat(F.lit("[CHUNK "), c["chunk_id"].cast("string"), F.lit("]\n"), c["text"]))
+    return rows.groupBy("doc_id", "batch").agg(F.array_join(lines, "\n\n").alias("text"))
+
+
+def edge_text(chunks: DataFrame, first: int = 2, last: int = 2, head: int = 3000, tail: int = 1200) -> DataFrame:
+    """doc_id, header, signature: the start of a document's first chunks and the end of its last ones."""
+    back = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("chunk_id").desc()))
+    rows = chunks.withColumn("_back", back).where((F.col("chunk_id") < first) | (F.col("_back") <= last))
+    texts = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("chunk_id", "chunk_text")))), lambda c: c["chunk_text"]), "\n")
+    got = rows.groupBy("doc_id").agg(texts(F.col("chunk_id") < first).alias("header"), texts(F.col("_back") <= last).alias("signature"))
+    return got.select("doc_id", F.substring("header", 1, head).alias("header"), F.right("signature", F.lit(tail)).alias("signature"))
+
+
+def question_registry(questions: DataFrame) -> DataFrame:
+    """Questions (doc, question, label) numbered within their document."""
+    return questions.withColumn("q_no", F.row_number().over(Window.partitionBy("doc").orderBy("question")))

@@ -93,8 +93,8 @@ def path_coverage(marked: DataFrame, dir_edges: DataFrame) -> DataFrame:
     return direct.join(typed, Q, "left").select(Q, "slot", "direct", (F.col("direct") | F.coalesce("typed", F.lit(False))).alias("matched"))
 
 
-def sheaf(marked: DataFrame, dir_edges: DataFrame) -> DataFrame:
-    """question_id, n_edges, n_consistent: edges whose ends agree in the fields that the kind of edge speaks of."""
+def consistent(marked: DataFrame, dir_edges: DataFrame) -> DataFrame:
+    """question_id, i, j, etype, ok: whether an edge's ends agree in the fields that the kind of edge speaks of."""
     side = lambda p: marked.select(Q, F.col("idx").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("term", "party", "chunk_id")], nx.check_text().alias(f"{p}_text"), F.lower(F.coalesce("trigger", F.lit(""))).alias(f"{p}_trigger"))
     rows = dir_edges.join(side("i"), [Q, "i"]).join(side("j"), [Q, "j"])
     a, b = F.coalesce(F.lower("i_party"), F.lit("")), F.coalesce(F.lower("j_party"), F.lit(""))
@@ -107,7 +107,18 @@ def sheaf(marked: DataFrame, dir_edges: DataFrame) -> DataFrame:
         .when(F.col("etype") == "PARTY_HAS", (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)))
         .otherwise(F.col("etype") != "CONTRADICTS")
     )
-    return rows.groupBy(Q).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(ok).alias("n_consistent"))
+    return rows.select(Q, "i", "j", "etype", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def sheaf(marked: DataFrame, dir_edges: DataFrame) -> DataFrame:
+    """question_id, n_edges, n_consistent."""
+    return consistent(marked, dir_edges).groupBy(Q).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("ok").alias("n_consistent"))
+
+
+def weighted_sheaf(marked: DataFrame, dir_edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """question_id, weighted_frac: the consistent share of edges, each by the mean weight (question_id, idx, weight) of its ends."""
+    rows = consistent(marked, dir_edges).join(weights.toDF(Q, "i", "wi"), [Q, "i"]).join(weights.toDF(Q, "j", "wj"), [Q, "j"]).withColumn("w", (F.col("wi") + F.col("wj")) / 2)
+    return rows.groupBy(Q).agg(F.try_divide(F.sum(F.when(F.col("ok"), F.col("w")).otherwise(0.0)), F.sum("w")).alias("weighted_frac"))
 
 
 def conductance(survivors: DataFrame, edges: DataFrame) -> DataFrame:
@@ -359,6 +370,34 @@ def direct_support(survivors: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.groupBy(Q).agg(best.alias("b")).select(Q, F.col("b.s").alias("support"), (-F.col("b.k")).alias("best_idx"))
 
 
+# Names of outside documents, words that only point to them, words that state something.
+OUTSIDE = {
+    "dpa": ("dpa", "data processing addendum"), "security_measures": ("security measures",), "pricing_page": ("pricing page",), "service_specific_terms": ("service-specific terms", "service specific terms"), "healthcare_addendum": ("healthcare addendum",),
+    "audit_reports": ("audit report", "audit reports"), "supported_countries": ("supported countries", "territories"), "order_form": ("order form",), "exhibit": ("exhibit",), "schedule": ("schedule",), "appendix": ("appendix",), "annex": ("annex",),
+}
+POINTERS = ("incorporated by reference", "available at", "located at", "at:", "see ", "as set forth in", "according to", "will comply with", "comply with the", "provided by", "provided in")
+DETAILS = (" must ", " shall ", " may ", " may not ", " cannot ", " prohibited ", " means ", " includes ", " no more than ", " at least ", "within ", "%", "$")
+
+
+def outside_dependency(survivors: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, related, related_ratio, ref_only_ratio, inline_ratio, doc_match_ratio: survivors that name outside documents, and
+    whether they only point to them or state something themselves. Questions are (question_id, external_doc, wants_contents)."""
+    rows = survivors.join(questions.select(Q, "external_doc", "wants_contents"), Q)
+    text = F.trim(F.lower(F.concat_ws(" ", *[F.coalesce(F.col(n), F.lit("")) for n in ("source_text", "ref_to", "describes")])))
+    rows = rows.withColumn("text", text)
+    t = F.col("text")
+    named = F.lit(False)
+    for name, words in OUTSIDE.items():
+        named = named | ((F.col("external_doc") == name) & has_any(t, words))
+    detail, ref = has_any(F.concat(F.lit(" "), t, F.lit(" ")), DETAILS), F.col("type") == "REFERENCE"
+    related = has_any(t, [w for words in OUTSIDE.values() for w in words])
+    only = ref | (has_any(t, POINTERS) & ~detail) | (F.col("wants_contents") & has_any(t, ("comply with", "incorporated by reference")))
+    long = F.size(F.filter(F.split(F.lower(F.coalesce("source_text", F.lit(""))), r"\s+"), lambda w: w != "")) >= 16
+    got = rows.groupBy(Q).agg(F.count(F.lit(1)).alias("n"), F.count_if(related).alias("related"), F.count_if(related & only).alias("only"), F.count_if(related & ~only & ~ref & (detail | long)).alias("inline"), F.count_if(related & named).alias("named"))
+    share = lambda x: F.coalesce(F.try_divide(F.col(x), F.col("related")), F.lit(0.0))
+    return got.select(Q, "related", (F.col("related") / F.col("n")).alias("related_ratio"), share("only").alias("ref_only_ratio"), share("inline").alias("inline_ratio"), share("named").alias("doc_match_ratio"))
+
+
 def complete(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     """A row for each question: nulls where there was nothing to measure."""
     return questions.select(Q).join(metrics, Q, "left")

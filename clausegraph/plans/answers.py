@@ -319,6 +319,23 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.arbitrate(apply(scoring.score(records(spark, sf_dir)), [_READERS])).select("question_id", "final", "failures", "final_confidence")
 
 
+@query(f"SELECT question_id, retry_wide, retry_chunks, number_bypass FROM ({as_sql(_DEALT, qx.INTENT + scoring.LAYERS + [_READERS] + scoring.ARBITRATION + [scoring.RETRIES])})")
+def retry_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.retries(scoring.arbitrate(apply(scoring.score(records(spark, sf_dir)), [_READERS]))).select("question_id", "retry_wide", "retry_chunks", "number_bypass")
+
+
+@query(f"""SELECT question_id, least(1.0, greatest(0.0, CASE WHEN question_id % 3 = 0 THEN exact_intent ELSE 0.2 * exact_intent + 0.8 * (question_id % 10) / 5.0 END)) AS exact_intent, CASE WHEN question_id % 3 = 0 THEN proof WHEN question_id % 3 = 1 THEN 'definition' ELSE 'mixed' END AS proof FROM ({as_sql(_ASKED, qx.INTENT)})""")
+def intent_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = {"said_exact_intent": F.when(F.col("question_id") % 3 > 0, F.col("question_id") % 10 / 5), "said_proof": F.when(F.col("question_id") % 3 == 1, " Definition ").when(F.col("question_id") % 3 == 2, "unheard of")}
+    return qx.blend(qx.intent(asked(spark, sf_dir)).withColumns(said)).select("question_id", "exact_intent", "proof")
+
+
+@query(f"SELECT question_id, CASE WHEN question_id % 2 = 0 THEN ['Is it so?', 'Or so?', question] ELSE [question, question, question] END AS variants, NOT regexp_matches(question, '(?i)^(can|does|do|is|are|has|have|did|was|were|will|would|could|should|may|shall|must|ought|need) ') AS open_ended FROM {_ASKED}")
+def question_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.when(F.col("question_id") % 2 == 0, "Here are some:\n Is it so?\r\nOr so?")
+    return asked(spark, sf_dir).select("question_id", qx.variants("question", reply, 3).alias("variants"), qx.is_open("question").alias("open_ended"))
+
+
 # evidence
 
 
@@ -337,6 +354,15 @@ def supporting_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.pick_clauses(candidates, asks)
 
 
+_LINE = """CASE type WHEN 'DEFINITION' THEN '[DEFINITION] "' || term || '" means: ' || definition WHEN 'OBLIGATION' THEN '[OBLIGATION] ' || party || ' ' || upper(modal) || ' ' || action WHEN 'RIGHT' THEN '[RIGHT] ' || party || ' MAY ' || right_text WHEN 'NUMERIC' THEN '[NUMERIC] ' || value || ' ' || unit || ' — ' || applies_to
+  WHEN 'CONDITION' THEN '[CONDITION] IF ' || trigger || ' THEN ' || consequence WHEN 'BLANK' THEN '[BLANK] "' || field || '" is not filled in — context: ' || context ELSE '[REFERENCE] → ' || ref_to || ': ' || describes END"""
+
+
+@query(f"""{ctes('survivors')} SELECT question_id, string_agg(CAST(idx + 1 AS VARCHAR) || '. ' || {_LINE} || chr(10) || '   Source: "' || source_text || '"', chr(10) ORDER BY idx) AS facts FROM survivors WHERE idx < 23 GROUP BY question_id""")
+def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.fact_lines(fixture(spark, sf_dir, "survivors"))
+
+
 @query()
 def shaped_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates, asks = _clauses(spark, sf_dir)

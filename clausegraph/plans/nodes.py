@@ -117,3 +117,27 @@ def node_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN 'OBLIGATION' THEN CASE WHEN modal LIKE '%not%' OR action LIKE 'not %' OR action LIKE 'no %' THEN 0.7 WHEN length(action) > 20 THEN 1 ELSE 0.8 END WHEN 'RIGHT' THEN CASE WHEN length(right_text) > 20 THEN 1 ELSE 0.8 END ELSE CASE WHEN length(consequence) > 20 THEN 1 ELSE 0.8 END END AS DOUBLE) AS specificity FROM unodes""")
 def node_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "unodes").select("doc_id", "node_key", nx.specificity().alias("specificity"))
+
+
+_CHUNKS = "SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_id, text AS chunk_text FROM documents"
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("source AS doc_id", "row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1L AS chunk_id", "text AS chunk_text")
+
+
+@query(f"WITH c AS ({_CHUNKS}) SELECT doc_id, chunk_id FROM c WHERE chunk_id % 3 <> 0")
+def zero_node_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    return nodes.chunks_without_nodes(chunks, chunks.where("chunk_id % 3 = 0")).select("doc_id", "chunk_id")
+
+
+@query(f"WITH c AS ({_CHUNKS}) SELECT doc_id, CAST(chunk_id // 3 AS BIGINT) AS batch, string_agg('[CHUNK ' || CAST(chunk_id AS VARCHAR) || ']' || chr(10) || substring(chunk_text, 1, 1500), chr(10) || chr(10) ORDER BY chunk_id) AS text FROM c GROUP BY ALL")
+def extraction_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.extraction_batches(_chunks(spark, sf_dir))
+
+
+@query(f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id DESC) AS back FROM ({_CHUNKS}))
+  SELECT doc_id, substring(string_agg(chunk_text, chr(10) ORDER BY chunk_id) FILTER (chunk_id < 2), 1, 3000) AS header, right(string_agg(chunk_text, chr(10) ORDER BY chunk_id) FILTER (back <= 2), 1200) AS signature FROM c GROUP BY doc_id""")
+def header_and_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.edge_text(_chunks(spark, sf_dir))

@@ -65,6 +65,44 @@ def sheaf_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.sheaf(w.survivors, w.edges)
 
 
+_OK_EDGE = f"""CASE WHEN (CASE etype WHEN 'USES_TERM' THEN coalesce(b.term, '') <> '' AND contains({_CHECK.format('a')}, lower(trim(b.term)))
+    WHEN 'TRIGGERS' THEN len(list_filter(string_split(lower(coalesce(a.trigger, '')), ' '), lambda w: length(w) >= 5 AND contains({_CHECK.format('b')}, w))) > 0 WHEN 'SAME_SECTION' THEN a.chunk_id = b.chunk_id
+    WHEN 'PARTY_HAS' THEN coalesce(a.party, '') <> '' AND coalesce(b.party, '') <> '' AND (contains(lower(a.party), lower(b.party)) OR contains(lower(b.party), lower(a.party))) END) THEN 1 ELSE 0 END"""
+
+
+@query(f"{WITH} SELECT de.question_id, sum((a.score + b.score) / 2 * {_OK_EDGE}) / sum((a.score + b.score) / 2) AS weighted_frac FROM de JOIN survivors a ON a.question_id = de.question_id AND a.idx = de.i JOIN survivors b ON b.question_id = de.question_id AND b.idx = de.j GROUP BY de.question_id")
+def weighted_sheaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = World(spark, sf_dir)
+    return tp.weighted_sheaf(w.survivors, w.edges, w.survivors.select("question_id", "idx", "score"))
+
+
+@query(f"""{WITH}, r AS (SELECT question_id, type, trim(lower(concat_ws(' ', coalesce(source_text, ''), coalesce(ref_to, ''), coalesce(describes, '')))) AS t, len(list_filter(string_split_regex(lower(coalesce(source_text, '')), '\\s+'), lambda w: w <> '')) >= 16 AS long FROM survivors),
+  f AS (SELECT *, {' OR '.join(f"contains(t, '{w}')" for ws in tp.OUTSIDE.values() for w in ws)} AS rel, type = 'REFERENCE' OR (({' OR '.join(f"contains(t, '{w}')" for w in tp.POINTERS)}) AND NOT ({' OR '.join(f"contains(' ' || t || ' ', '{w}')" for w in tp.DETAILS)})) AS refs, {' OR '.join(f"contains(' ' || t || ' ', '{w}')" for w in tp.DETAILS)} AS detail FROM r),
+  g AS (SELECT question_id, count(*) AS n, count(*) FILTER (rel) AS related, count(*) FILTER (rel AND refs) AS o, count(*) FILTER (rel AND NOT refs AND type <> 'REFERENCE' AND (detail OR long)) AS i, count(*) FILTER (rel AND question_id % 2 = 0 AND contains(t, 'schedule')) AS d FROM f GROUP BY question_id)
+  SELECT question_id, related, related / n AS related_ratio, CASE WHEN related > 0 THEN o / related ELSE 0 END AS ref_only_ratio, CASE WHEN related > 0 THEN i / related ELSE 0 END AS inline_ratio, CASE WHEN related > 0 THEN d / related ELSE 0 END AS doc_match_ratio FROM g""")
+def outside_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = World(spark, sf_dir)
+    asks = w.questions.select("question_id", F.when(F.col("question_id") % 2 == 0, "schedule").otherwise("none").alias("external_doc"), F.lit(False).alias("wants_contents"))
+    return tp.outside_dependency(w.survivors, asks)
+
+
+@query(f"""{WITH}, raw AS (SELECT question_id, idx, score, trim(concat_ws(' ', coalesce(source_text, ''), coalesce(action, ''), coalesce(party, ''), coalesce(term, ''), coalesce(right_text, ''), coalesce(definition, ''), coalesce(trigger, ''), coalesce(consequence, ''), coalesce(applies_to, ''), coalesce(value, ''), coalesce(unit, ''))) AS raw FROM survivors),
+  o AS (SELECT *, len(list_intersect(['goods', 'price', 'order'], list_distinct(regexp_extract_all(lower(raw), '([a-z0-9]+)', 1)))) / 3 AS r FROM raw),
+  k AS (SELECT *, greatest(CASE WHEN regexp_matches(raw, '\\b\\d{{1,3}}(?:\\.\\d+)?\\s*%') THEN 1.0 ELSE 0 END, CASE WHEN regexp_matches(raw, '\\d') THEN 0.9 ELSE 0 END) AS kind, CASE WHEN {' OR '.join(f"contains(lower(raw), '{x}')" for x in tp.STATED)} THEN 1.0 ELSE 0.35 END AS stated FROM o),
+  s AS (SELECT question_id, idx, greatest(0, least(1, 0.45 * r + 0.35 * CASE WHEN kind = 0 THEN least(0.75, 0.65 * r) ELSE kind END + 0.15 * stated + 0.05 * least(1, score))) AS support FROM k)
+  SELECT question_id, max(support) AS support FROM s GROUP BY question_id""")
+def direct_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = World(spark, sf_dir)
+    flags = {f"asks_{n}": F.lit(n in ("percent", "value")) for n in ("date", "percent", "value", "name", "list", "rule")}
+    return tp.direct_support(w.survivors, w.questions.select("question_id", F.lit("What is the goods price of the order?").alias("question")).withColumns(flags)).select("question_id", "support")
+
+
+@query(f"{WITH}, k AS (SELECT question_id, count(*) AS n FROM und GROUP BY ALL) SELECT c_custkey AS question_id, n AS n_edges FROM customer LEFT JOIN k ON k.question_id = c_custkey")
+def complete_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = tp.ricci(World(spark, sf_dir).edges).select("question_id", "n_edges")
+    return tp.complete(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("question_id")), edges)
+
+
 @query(f"""{WITH}, b AS (SELECT doc_id, src AS node, dst AS near FROM edges UNION ALL SELECT doc_id, dst, src FROM edges)
   SELECT s.question_id, count(*) FILTER (t.node_key IS NULL) AS cut, count(*) AS vol FROM b JOIN survivors s ON s.doc_id = b.doc_id AND s.node_key = b.node LEFT JOIN survivors t ON t.question_id = s.question_id AND t.node_key = b.near GROUP BY s.question_id""")
 def conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
