@@ -8,6 +8,7 @@ debt blanks, untaxed lines references. A question is a customer, its survivors a
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -74,33 +75,42 @@ CTES = {
 }
 
 
-def ctes(last: str, spark: bool = False) -> str:
-    """WITH clause up to the table `last`."""
+def ctes(last: str) -> str:
+    """WITH clause up to the table `last`, for the queries' SQL."""
     out = []
     for name, sql in CTES.items():
         out.append(f"{name} AS ({sql})")
         if name == last:
             break
-    text = "WITH " + ", ".join(out)
-    return text.replace("c_custkey // 20", "c_custkey DIV 20") if spark else text
+    return "WITH " + ", ".join(out)
 
 
-#: Tables that several branches of a query read; they are built once a session, as an index would be, and written, which
-#: also keeps the plans of those queries short.
-KEPT = ("edges", "unodes", "survivors", "dir_edges")
+#: Tables that several branches of a query read; each is built once a session from those before it, as an index would be, and
+#: written, which also keeps plans short.
+KEPT = ("lines", "keyed", "edges", "unodes", "survivors", "dir_edges")
 _kept: dict[tuple[str, str, str], str] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the graph: lines, nodes, keyed, edges, unodes, survivors or dir_edges."""
-    if name not in KEPT:
-        return _fixture(spark, sf_dir, name)
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-        _fixture(spark, sf_dir, name).write.parquet(path)
-        _kept[key] = path
-    return spark.read.parquet(_kept[key])
+    if key in _kept:
+        return spark.read.parquet(_kept[key])
+    frames: dict[str, DataFrame] = {}
+
+    def named(m: re.Match) -> str:
+        table = m[2]
+        frames[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet") if table in TABLES else fixture(spark, sf_dir, table)
+        return f"{m[1]} {{{table}}}"
+
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join((*TABLES, *CTES))})\b", named, CTES[name].replace("c_custkey // 20", "c_custkey DIV 20"))
+    made = spark.sql(text, **frames)
+    if name not in KEPT:
+        return made
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    _kept[key] = path
+    return spark.read.parquet(path)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -113,12 +123,3 @@ def scratch(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
-
-
-def _fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    text = ctes(name, True)
-    for t in TABLES:
-        for word in (f"FROM {t} ", f"JOIN {t} "):
-            text = text.replace(word, word.replace(t, "{" + t + "}"))
-    return spark.sql(f"{text} SELECT * FROM {name}", **frames)
