@@ -68,3 +68,18 @@ def test_entry_works_without_the_corpus_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.corpus is None and 'pipeline' not in e.queries() and 'answerability' in e.queries(); print('ok')"
     root = Path(__file__).resolve().parents[1]
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.strip() == "ok"
+
+
+def test_kernels_agree_with_joins(spark):
+    """What both ways measure is the same for every question."""
+    from clausegraph.plans.topology import World
+
+    got = {r.question_id: r for r in QUERIES["topology_kernels"](spark, str(SF)).collect()}
+    marked = World(spark, str(SF)).marked.groupBy("question_id").agg({"anchor": "count", "idx": "count"}).collect()
+    assert {r.question_id for r in marked} == set(got)
+    centrality = {r.question_id: r for r in QUERIES["target_centrality"](spark, str(SF)).collect()}
+    assert all(got[q].n_targets in (0, c.n_targets) for q, c in centrality.items())
+    ricci = {r.question_id: r.n_edges for r in QUERIES["ollivier_ricci"](spark, str(SF)).collect()}
+    assert all(got[q].n_edges == ricci.get(q, 0) for q in got)
+    assert all(r.beta0 - r.beta1 == r.n - r.n_edges and 0 <= (r.gradient_frac or 0) <= 1 + 1e-9 for r in got.values())
+    assert all(r.causal_reachable <= r.n_targets or r.n_targets == 0 for r in got.values())
