@@ -34,12 +34,19 @@ COMMON = ("party", "parties", "agreement", "shall", "must")
 def triggers(nodes: DataFrame, least: int = 2) -> DataFrame:
     """From conditions to what shares `least` distinct words of four letters or more with their consequence.
 
-    Words are joined by equality; pairs are counted after a partial aggregation."""
+    A pair that shares `least` words shares one that isn't among the condition's `least` - 1 most frequent words. So pairs
+    are found by the other words, which keeps words that stand in every clause out of the join, and the frequent words are
+    then looked up for the pairs found."""
     word = lambda text: F.explode(F.array_except(long_words(text), F.array(*map(F.lit, COMMON)))).alias("word")
     a = nodes.where("type = 'CONDITION'").select("doc_id", F.col("node_key").alias("a"), word(F.coalesce("consequence", F.lit("")))).distinct()
     b = nodes.where("type IN ('OBLIGATION', 'RIGHT', 'NUMERIC')").select("doc_id", F.col("node_key").alias("b"), word(nx.all_text())).distinct()
-    pairs = a.join(b, ["doc_id", "word"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return pairs.select(*_edge("a", "b", "TRIGGERS"))
+    often = b.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("often"))
+    ranked = a.join(often, ["doc_id", "word"]).withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "a").orderBy(F.col("often").desc(), "word")))
+    pairs = ranked.where(F.col("place") >= least).join(b, ["doc_id", "word"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    frequent = ranked.where(F.col("place") < least).select("doc_id", "a", "word")
+    more = pairs.join(frequent, ["doc_id", "a"]).join(b, ["doc_id", "b", "word"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("m"))
+    found = pairs.join(more, ["doc_id", "a", "b"], "left").where(F.col("n") + F.coalesce("m", F.lit(0)) >= least)
+    return found.select(*_edge("a", "b", "TRIGGERS"))
 
 
 def same_chunk(nodes: DataFrame) -> DataFrame:
