@@ -1,9 +1,10 @@
 """Language identification as mixture inference.
 
 Each language has a distribution over hashed byte trigrams of words, counted over every training text. A document's
-trigrams are drawn from a mixture of languages: expectation-maximisation estimates the proportions, and of nested sets of
-languages (the least likely leaves first) the one with the best penalised likelihood is selected. The prediction is the
-set's largest proportion; the score is that language's proportion before selection.
+trigrams are drawn from a mixture of languages: expectation-maximisation starts from all of them and estimates the
+proportions, and of nested sets of languages (the one with the least fitted proportion leaves first) the one with the best
+penalised likelihood is selected. The prediction is the set's largest proportion; the score is that language's proportion
+before selection. Work grows with the square of the number of languages, and slices of text shrink with it.
 
 Cases: null texts and texts without a letter are `und` with score 0. Texts with letters that no training text has are
 equally likely in all languages, and ties go to the first language by name. Rows without a language or an id don't
@@ -27,7 +28,6 @@ BITS = 15
 FEATURES = 1 << BITS
 STEPS = 8  #: rounds of expectation-maximisation for each set
 PENALTY = 1.0  #: times half the logarithm of the number of trigrams, for each language beyond the first
-MOST = 4  #: languages of a mixture: the likeliest by themselves
 LETTER = re.compile(r"[^\W\d_]")
 #: Letters to lower case, other ASCII to a space.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -90,15 +90,14 @@ def mixtures(texts: list[bytes | None], log_p: np.ndarray, steps: int = STEPS, p
     logs = log_p[f]
     alone = np.add.reduceat(logs * c[:, None], first)
     total = np.add.reduceat(c, first).astype(float)
-    active = np.zeros(alone.shape, bool)
-    np.put_along_axis(active, np.argsort(-alone, axis=1, kind="stable")[:, :MOST], True, axis=1)
+    active = np.ones(alone.shape, bool)
     shift = logs.max(axis=1)
     p = np.exp(logs - shift[:, None])
     base = np.add.reduceat(shift * c, first)
     value, choice, full = np.full(len(there), -np.inf), None, None
     pi = active / active.sum(axis=1, keepdims=True)
     chosen = pi
-    for size in range(min(MOST, k), 0, -1):
+    for size in range(k, 0, -1):
         for _ in range(steps if size > 1 else 1):
             part = p * pi[row]
             part *= (c / part.sum(axis=1))[:, None]
@@ -123,7 +122,7 @@ def identify(docs: DataFrame, held_out: str = "crc32(CAST(doc_id AS STRING)) % 4
     held_out = f"coalesce({held_out}, false)"
     langs, log_p = profiles(docs, held_out)
     kinds = arrow_schema("doc_id long,lang_pred string,score double")
-    most = max(1 << 18, (8 << 20) * 4 // max(4, len(langs)))
+    most = (8 << 20) * 4 // max(4, len(langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

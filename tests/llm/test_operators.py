@@ -12,7 +12,7 @@ from clausegraph.llm import licenses, pii, quality
 from clausegraph.llm.common import words
 from clausegraph.llm.components import components
 from clausegraph.llm.exact import exact_dedup, exact_groups
-from clausegraph.llm.language import identify
+from clausegraph.llm.language import FEATURES, identify, mixtures, trigrams
 from clausegraph.llm.ngram_scores import stupid_backoff
 from clausegraph.llm.pieces import Encoder, Normaliser, encode, encode_digests, fields
 from clausegraph.llm.shards import ShardStore, placement_sql, sharded
@@ -312,6 +312,21 @@ def test_language_of_mixtures(spark, docs, no_docs):
     assert {x.lang_pred for x in identify(spark.createDataFrame(rows, "doc_id long,text string,lang string").selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")).collect()} == {"und"}
 
 
+def test_mixtures_of_more_languages():
+    r = random.Random(3)
+    made = lambda a: ["".join(r.choice(a) for _ in range(3)) for _ in range(40)]
+    shared = made("abcdefghijklm")
+    parts = {f"r{k}": (shared, [r.choice([1, 1, 1, 8]) for _ in shared]) for k in range(5)} | {"u": (made("nopqrstuvwxyz"), [1] * 40)}
+    text = lambda lang, n: " ".join("".join(r.choices(*parts[lang], k=2)) for _ in range(n))
+    counts = np.full((FEATURES, 6), 0.5)
+    for k, lang in enumerate(sorted(parts)):
+        _, f, c = trigrams([text(lang, 8000).encode()])
+        counts[f, k] += c
+    texts = [" ".join([text("u", 90), text("r0", 60), text("r1", 50)]).encode() for _ in range(50)]
+    best, shares = mixtures(texts, np.log(counts / counts.sum(axis=0)))
+    assert set(best) == {5} and (abs(shares[:, 5] - 0.45) < 0.05).all() and (abs(shares.sum(axis=1) - 1) < 1e-9).all()
+
+
 # exact copies
 
 
