@@ -173,14 +173,15 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def encode_ids(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array<int>), round_trip (whether the ids decode to the text)."""
+    """doc_id, n_tokens, ids (array<int>), starts (as `encode`), round_trip (whether the ids decode to the text)."""
 
     def work(coder: Encoder, texts: list[bytes]) -> dict[str, list]:
         plain = [t.decode("utf-8", "replace") for t in texts]
         ids = coder.ids(plain)
-        return {"n_tokens": [len(x) for x in ids], "ids": ids, "round_trip": [(coder.lib.decode(x) if x else "") == t for t, x in zip(plain, ids)]}
+        starts = [coder.bounds(t.encode(), x) for t, x in zip(plain, ids)]
+        return {"n_tokens": [len(x) for x in ids], "ids": ids, "starts": starts, "round_trip": [(coder.lib.decode(x) if x else "") == t for t, x in zip(plain, ids)]}
 
-    return _per_text(docs, model, "doc_id long,n_tokens long,ids array<int>,round_trip boolean", work)
+    return _per_text(docs, model, "doc_id long,n_tokens long,ids array<int>,starts array<long>,round_trip boolean", work)
 
 
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:

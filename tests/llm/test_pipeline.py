@@ -6,6 +6,7 @@ from pathlib import Path
 import corpus_pipeline
 import pytest
 from clausegraph.llm import simhash
+from clausegraph.llm.pieces import Encoder
 from clausegraph.llm.quality import quality_scores
 
 from .test_operators import groups_of, hits, lower, plain, print_of, tokenizer
@@ -49,6 +50,18 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     assert kept["tokens"] == {r.doc_id for r in corpus_pipeline.run(spark, str(SF)).collect()}
 
 
+def test_tokens_carry_source_spans(spark, docs):
+    pytest.importorskip("sentencepiece")
+    coder = Encoder(Path(tokenizer()).read_bytes())
+    got = corpus_pipeline.tokens(spark, docs, str(SF)).collect()
+    texts = collections.defaultdict(set)
+    for r in docs.collect():
+        texts[r.doc_id].add((r.text or "").encode())
+    for r in got:
+        assert len(r.starts) == r.n_tokens + 1 == len(r.ids) + 1
+        assert any(r.starts == coder.bounds(t, list(r.ids)).tolist() and r.starts[-1] == len(t) for t in texts[r.doc_id] if coder.lib.encode(t.decode()) == list(r.ids))
+
+
 def test_hot_buckets_are_dealt_out(docs, rows, monkeypatch):
     want = plain(simhash.near_groups(docs), "doc_id", "fingerprint", "component_id")
     monkeypatch.setattr(simhash, "HOT", 2)
