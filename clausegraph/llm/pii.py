@@ -7,6 +7,9 @@ their fixed rules accept always stay; the trees add spans of any kind that those
 The trees are trained on synthetic labelled spans made from a fixed seed (`TRAINING_SPANS` of them), so the model is the
 same for any input; half of the calibration follows from spans that training doesn't see.
 
+Numbers parted by a blank or a sign make one run of digits, so every window of a run's digit groups with 8 to 19 digits is
+proposed too; what joins a window to the rest of its run is a feature, and windows of longer runs are in the training spans.
+
 Cases: a null or empty text has no spans. Generators are linear in the text's length, also over long runs of digits or
 letters. Repeated rows give repeated rows; other columns of the input are ignored.
 """
@@ -17,6 +20,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +33,8 @@ from .common import per_document
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 TRAINING_SPANS = 6000
 MIN_PRECISION = 0.98
+SCORED = 1 << 14  #: candidates whose features are held at a time
+RANGES = (("phone", 8, 15), ("card", 13, 19), ("id", 9, 12))
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,6 +43,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NUMBER = re.compile(r"\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}+")
+GROUP = re.compile(r"[0-9]+")
+JOINED_LEFT = re.compile(r"[0-9]([\x20().\-/]{1,2})$")
+JOINED_RIGHT = re.compile(r"([\x20().\-/]{1,2})[0-9]")
 ASSIGNED = re.compile(r"[=:]")
 VALUE = re.compile(r"[\x20\"']{0,3}([A-Za-z0-9+/_\-]{8,})")
 NAME = re.compile(r"([A-Za-z_-]{2,24})[\x20\"']{0,3}$")
@@ -80,20 +91,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
+def windows(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """The run of digits and every window of its groups, by the kinds that their number of digits allows."""
+    groups = [(m.start() - (m.start() > start and text[m.start() - 1] == "("), m.end(), m.end() - m.start()) for m in GROUP.finditer(text, start, end)]
+    for k, (a, _, _) in enumerate(groups):
+        n = 0
+        for _, b, size in groups[k : k + 19]:
+            n += size
+            if n > 19:
+                break
+            yield from ((kind, a, b) for kind, low, high in RANGES if low <= n <= high)
+
+
+def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans that may be personal data, of any length and overlap; most are not."""
-    found = []
     if DIGIT.search(text):
         for m in NUMBER.finditer(text):
-            n = len(only_digits(m[0]))
-            if n <= 24:
-                found += [(kind, *m.span()) for kind, low, high in (("phone", 8, 15), ("card", 13, 19), ("id", 9, 12)) if low <= n <= high]
+            yield from windows(text, *m.span())
     for m in ASSIGNED.finditer(text):
         if (v := VALUE.match(text, m.end())) and NAME.search(text, max(0, m.start() - 32), m.start()):
-            found.append(("secret", *v.span(1)))
+            yield ("secret", *v.span(1))
     if "at]" in text or "at)" in text:
-        found += [("email", *m.span()) for m in AT_WORD.finditer(text)]
-    return found
+        yield from (("email", *m.span()) for m in AT_WORD.finditer(text))
+
+
+def candidates(text: str) -> list[tuple[str, int, int]]:
+    return list(proposals(text))
 
 
 #: Words that often stand before each kind.
@@ -107,6 +130,11 @@ CUES = {
 COUNTS = re.compile(r"\b(?:order|invoice|page|version|ref|no|item|isbn|part|lot|total)\b", re.I)
 
 
+def joined(found: re.Match | None) -> float:
+    """0 if no digits adjoin, 1 if they do past blanks, 2 past a sign."""
+    return 0.0 if found is None else 1.0 if found[1].isspace() else 2.0
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     s, before, after = text[start:end], text[max(0, start - 32) : start], text[end : end + 12]
     d = only_digits(s)
@@ -120,6 +148,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(CUES[kind].search(before))), float(bool(COUNTS.search(before))),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#"), float(after[:1] in "%€°"),
         float(bool(re.search(r"[a-z]", s)) and bool(d)), float(s.isalpha()),
+        joined(JOINED_LEFT.search(before) if d else None), joined(JOINED_RIGHT.match(after) if d else None),
     ]
 
 
@@ -225,8 +254,24 @@ def synthetic(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
             before += r.choice(cue[kind]) + " "
         elif not yes and r.random() < 0.5:
             before += r.choice(["order", "invoice", "page", "ref", "total", "$", "version"]) + " "
-        text = before + span + r.choice([" ", ", ", ". ", " " + word(), "\n"])
-        rows.append(features(text, kind, len(before), len(before) + len(span)))
+        start, end, after = 0, len(span), r.choice([" ", ", ", ". ", " " + word(), "\n"])
+        if kind in ("phone", "card", "id") and r.random() < 0.4:
+            near = lambda: r.choice([good[kind], good[kind], good["phone"], good["card"], good["id"], bad["phone"]])() + " "
+            if yes:
+                left, right = r.choice([("", near()), (near(), ""), (near(), near())])
+                span, start, end = left + span + " " + right, len(left), len(left) + end
+            else:  # a part of a longer run
+                parts = r.choice([[good[kind]()], [span], [good[kind](), good[kind]()], [near()[:-1], near()[:-1]], [near()[:-1], good[kind](), near()[:-1]]])
+                span, whole, at = " ".join(parts), set(), 0
+                for part in parts:
+                    whole.add((at, at + len(part)))
+                    at += len(part) + 1
+                wrong = [(a, b) for k, a, b in candidates(span) if k == kind and (a, b) not in whole]
+                if not wrong:
+                    continue
+                start, end = r.choice(wrong)
+        text = before + span + after
+        rows.append(features(text, kind, len(before) + start, len(before) + end))
         labels.append(float(yes))
         kinds.append(kind)
     return np.array(rows), np.array(labels), kinds
@@ -250,19 +295,18 @@ def trained(n: int = TRAINING_SPANS, precision: float = MIN_PRECISION, seed: int
 def all_spans(texts: list[str], model: Boosted, thresholds: dict[str, float]) -> list[tuple[list, list]]:
     """For each text its base spans, and those with the added ones, both in the order of kinds and starts."""
     base = [base_spans(t) for t in texts]
-    proposed, rows = [], []
-    for k, t in enumerate(texts):
-        for c in candidates(t):
-            if all(c[2] <= a or b <= c[1] for _, a, b in base[k]):
-                proposed.append((k, c))
-                rows.append(features(t, *c))
     extra: list[list] = [[] for _ in texts]
-    if rows:
-        p = model.probability(np.array(rows))
-        for i in sorted(range(len(p)), key=lambda i: (-p[i], i)):
-            k, (kind, a, b) = proposed[i]
-            if p[i] >= thresholds[kind] and all(b <= c or d <= a for _, c, d in extra[k]):
-                extra[k].append((kind, a, b))
+    ahead = ((k, c) for k, t in enumerate(texts) for c in proposals(t) if all(c[2] <= a or b <= c[1] for _, a, b in base[k]))
+    good: list[tuple] = []
+    while block := list(islice(ahead, SCORED)):
+        p = model.probability(np.array([features(texts[k], *c) for k, c in block]))
+        good += [(-x, k, c) for x, (k, c) in zip(p.tolist(), block) if x >= thresholds[c[0]]]
+    taken: list[list] = [[] for _ in texts]  # starts and ends of the added spans, ascending
+    for _, k, (kind, a, b) in sorted(good, key=lambda g: g[0]):
+        at = bisect_right(taken[k], a)
+        if at % 2 == 0 and (at == len(taken[k]) or b <= taken[k][at]):
+            taken[k][at:at] = [a, b]
+            extra[k].append((kind, a, b))
     in_order = lambda s: sorted(s, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
     return [(in_order(b), in_order(b + e)) for b, e in zip(base, extra)]
 

@@ -64,6 +64,18 @@ def test_trees_find_added_kinds():
     assert pii.redacted(t, every).startswith("mail [email], call [phone] or token")
 
 
+def test_adjacent_numbers_are_spans_of_their_own():
+    model, thresholds = pii.trained()
+    for cue, parts, kinds in (("call", ["415-555-2671", "415-555-2672"], ["phone"] * 2), ("ssn", ["123-45-6788", "987-65-4321"], ["id"] * 2), ("call", ["1980-01-02", "415-555-2671"], [None, "phone"]), ("call", ["415-555-2671"] * 5, ["phone"] * 5)):
+        t, want, at = " ".join([cue, *parts, "now"]), [], len(cue) + 1
+        for part, kind in zip(parts, kinds):
+            want += [(kind, at, at + len(part))] * bool(kind)
+            at += len(part) + 1
+        assert set(want) <= set(pii.candidates(t)), t
+        ((_, every),) = pii.all_spans([t], model, thresholds)
+        assert every == want, t
+
+
 def test_personal_data_by_document(docs, no_docs, rows):
     got = pii.find_personal_data(docs, redact=True)
     assert got.count() == len(rows) and pii.find_personal_data(no_docs).count() == 0
