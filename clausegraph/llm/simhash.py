@@ -9,7 +9,7 @@ the hash of the variant. Components follow by star contraction.
 
 Words are runs of bytes other than space and \\t to \\r, after lower-casing A-Z; shingles are SHINGLE words, repeats
 included; fewer words make one shingle. Cases: null, empty and blank texts have fingerprint 0 and are linked like any
-other. Null ids take part; a component whose ids are all null has a null id. Repeated rows give repeated rows; very long
+other. Null ids take part; a component whose ids are all null has a null id, and `near_dedup` keeps one of its rows. `near_groups` repeats repeated rows; very long
 texts are hashed in blocks; other columns are ignored by `near_groups` and kept by `near_dedup`.
 """
 
@@ -125,21 +125,32 @@ def links(distinct: DataFrame, half: int = HALF, bits: int | None = None) -> Dat
     return dealt.groupBy("bucket", "salt").applyInArrow(meet, "a long,b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least id of the component)."""
+def _grouped(docs: DataFrame, shingle: int, half: int, raw: bool = False) -> DataFrame:
+    """doc_id, fp, root, component_id and, with `raw`, xxhash64 of the text as it stands."""
     shared_dir(docs.sparkSession)
-    marked = fingerprints(docs, shingle).checkpoint()
+    marked = (per_document(docs, "doc_id long,fp long,raw long", lambda _, texts: {"fp": [fingerprint(t, shingle) for t in texts], "raw": [text_hash(t) for t in texts]}) if raw else fingerprints(docs, shingle)).checkpoint()
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     roots = components(links(distinct.select("fp"), half))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
-    """The row with the least id of each component, with all its columns; rows that repeat that id stay with it."""
-    kept = near_groups(docs, shingle, half).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least id of the component)."""
+    return _grouped(docs, shingle, half).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
 
+def text_hash(text: bytes | None) -> int:
+    """Spark's xxhash64 of a text."""
+    return 42 if text is None else (xxhash.xxh64_intdigest(text, 42) ^ 1 << 63) - (1 << 63)
 
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
+    """One row of each component, with all its columns: of the least id (null if there is no other) and, of its texts, the least hash."""
+    # Null ids are one number to the join, and texts tell their rows apart.
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    first = _grouped(docs, shingle, half, raw=True).where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("raw").alias("__raw"))
+    kept = first.select(number.alias("__id"), "__raw")
+    marked = docs.withColumns({"__id": number, "__raw": F.xxhash64("text")})
+    return marked.join(kept, ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).drop("__id", "__raw")

@@ -269,6 +269,14 @@ def test_near_groups_equal_all_pairs(docs, no_docs, rows):
     assert {r.doc_id for r in near_dedup(docs).collect()} == set(least.values())
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark, rows):
+    far = "something else altogether that nobody has copied from anywhere"
+    data = [(None, rows[0][1]), (None, rows[0][1]), (None, rows[1][1]), (7, rows[1][1]), (None, rows[2][1] + " "), (None, rows[2][1]), (9, far), (9, far), (9, rows[3][1]), (8, rows[3][1]), (None, None), (None, "")]
+    got = collections.Counter((r.doc_id, print_of(r.text)) for r in near_dedup(spark.createDataFrame(data, "doc_id long,text string")).collect())
+    want = [(None, rows[0][1]), (7, rows[1][1]), (None, rows[2][1]), (9, far), (8, rows[3][1]), (None, "")]
+    assert got == collections.Counter((i, print_of(t)) for i, t in want)
+
+
 def test_bucket_links_connect_all_near_prints():
     r = random.Random(6)
     for bits in (0, 4, 8):
