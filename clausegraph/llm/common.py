@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -57,22 +58,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def forget(table: DataFrame) -> None:
+    """Removes a table made by `written` that nothing reads any more."""
+    remove(table.sparkSession, table.scratch_path)
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """The table (of short rows) marked for broadcast if it is counted to have at most so many; otherwise as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Documents can be long, so batches for Python are smaller than the default, unless the session has its own bound."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes of unsigned 64-bit numbers."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_bytes(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as UTF-8 bytes; other columns, whatever their names, stay behind."""
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
@@ -107,14 +120,13 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBat
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(","))])
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
     """The rows whose text `keep` tells to keep, whole and with all their columns, without a shuffle."""
     at = docs.columns.index("text")
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

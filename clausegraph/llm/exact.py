@@ -1,15 +1,16 @@
 """Exact dedup by distributed MSD radix partitioning.
 
-Level r splits the groups left open by level r - 1 by the next bytes, up to byte FIRST * GROWTH**r; texts that share all
-bytes so far stay together. A group is closed when it is a single document or its texts have ended, so equality is
-decided on the bytes themselves, never on a digest. Sizes and largest ids of groups are aggregated before the shuffle;
-the join that tells each row its group has one small row a group on the other side, so a group of any size can be split
-between tasks.
+Level r splits the groups left open by level r - 1 by the next bytes, up to byte FIRST * GROWTH**r: the key is the number
+of the group and those bytes, and what goes on to the next level is the rest of the text. A group is closed when it is a
+single document or its texts have ended, so equality is decided on the bytes themselves, never on a digest. Rows are
+numbered in a table written first, so a row is found again by its number. Sizes and keepers of groups are aggregated before
+the shuffle; the join that tells each row its group has one small row a group on the other side, so a group of any size can
+be split between tasks.
 
 Texts are equal when identical after lower-casing A-Z only. Cases: a null text counts as empty. Null ids sort first, so
-a group's keeper is null only if all its ids are. Rows that repeat an id and a text are reported each with the same fate,
-and `exact_dedup` keeps one of them. Empty tables give empty results; other columns, whatever their names, are kept by
-`exact_dedup` and ignored by `exact_groups`.
+a group's keeper has a null id only if all its ids are null. One row of a group stays, also where several rows share its
+largest id. Empty tables give empty results; other columns, whatever their names, are kept by `exact_dedup` and ignored by
+`exact_groups`.
 """
 
 from __future__ import annotations
@@ -21,62 +22,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import slices, written
 
 FIRST, GROWTH = 64, 8
 
 
-def _normal(first: int, whole: bool):
+def numbered(docs: DataFrame, *columns) -> DataFrame:
+    """The columns and a row number `row`, written, so that numbers stay the same whenever they are read."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "numbered")
+
+
+def _normal(digest: bool, most: int | None = None):
+    """Texts of column 1 in lower case (their first `most` bytes), after their digest if that is asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or b"").lower() for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array([t[:first] for t in texts], pa.binary())]
-            names = ["doc_id", "raw", "prefix"]
-            if whole:
-                columns += [pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t if len(t) >= first else None for t in texts], pa.binary())]
-                names += ["text_sha256", "normal"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in slices(batch):
+                texts = [(t or b"").lower() for t in part.column(1).to_pylist()]
+                columns, names = [part.column(0)], ["row"]
+                if digest:
+                    columns, names = [*columns, pa.array([hashlib.sha256(t).hexdigest() for t in texts])], [*names, "text_sha256"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([t[:most] for t in texts], pa.binary()), part.column(2)], names=[*names, "rest", "doc_id"])
 
     return run
 
 
-def _split(rows: DataFrame, keys: DataFrame, depth: int) -> DataFrame:
-    """Rows with the size and keeper of their group at this level; `normal` is left where the group is still open."""
-    groups = keys.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where("n > 1")
-    # The key is computed anew, so that the join deals out both sides itself and a group's rows can go to several tasks.
-    groups = groups.select(F.substring("prefix", 1, (1 << 31) - 1).alias("prefix"), "n", "last")
-    open_ = F.col("n").isNotNull() & (F.octet_length("prefix") >= depth)
-    return rows.join(groups, "prefix", "left").select(
-        "doc_id", "raw", "text_sha256", F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("last")).alias("keep_id"), open_.alias("open"), F.when(open_, F.col("normal")).alias("normal")
-    )
-
-
-def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and raw (xxhash64 of the text as it stands, to find the row again)."""
-    bounded_batches(docs.sparkSession)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), F.col("text").cast("binary").alias("text"))
-    keys = src.mapInArrow(_normal(first, False), "doc_id long,raw long,prefix binary")
-    rows = src.mapInArrow(_normal(first, True), "doc_id long,raw long,prefix binary,text_sha256 string,normal binary")
-    depth, levels = first, []
+def _levels(src: DataFrame, first: int, growth: int, digest: bool) -> DataFrame:
+    """row, doc_id, text_sha256 (null without `digest`), group_size, keep_id and kept, for src with row, text (binary) and doc_id."""
+    short = "row long,rest binary,doc_id long"
+    root, src = F.lit(0).cast("long").alias("root"), src.select("row", "text", "doc_id")
+    keys = src.mapInArrow(_normal(False, first), short).select("*", root)
+    rows = src.mapInArrow(_normal(digest), short.replace(",", ",text_sha256 string,", 1) if digest else short).select("*", root)
+    if not digest:
+        rows = rows.withColumn("text_sha256", F.lit(None).cast("string"))
+    size, levels = first, []
     while True:
-        level = written(_split(rows, keys, depth), "radix")
-        levels.append(level.where(~F.col("open")))
-        longest = level.where("open").agg(F.max(F.octet_length("normal"))).first()[0]
-        if longest is None:
+        head = F.substring("rest", 1, size)
+        groups = keys.groupBy("root", head.alias("head")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("last"), F.min("row").alias("next")).where("n > 1")
+        # The keys are computed anew, so that the join deals out both sides itself and a group's rows can go to several tasks.
+        groups = groups.select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("at"), F.substring("head", 1, (1 << 31) - 1).alias("head"), "n", "last", "next")
+        found = rows.join(groups, (rows["root"] == groups["at"]) & (head == groups["head"]), "left")
+        alone, open_ = F.col("n").isNull(), F.col("n").isNotNull() & (F.octet_length("rest") >= size)
+        level = written(
+            found.select(
+                "row", "doc_id", "text_sha256", F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+                F.when(alone, F.col("doc_id")).otherwise(F.col("last.doc_id")).alias("keep_id"), (alone | (F.col("row") == F.col("last.row"))).alias("kept"),
+                F.when(open_, F.col("next")).alias("root"), F.when(open_, F.substring("rest", size + 1, (1 << 31) - 1)).alias("rest"),
+            ), "radix",
+        )
+        levels.append(level.where("root IS NULL").drop("root", "rest"))
+        keys = rows = level.where("root IS NOT NULL").select("row", "doc_id", "text_sha256", "root", "rest")
+        if rows.isEmpty():
             break
-        depth *= growth
-        rows = level.where("open").select("doc_id", "raw", "text_sha256", "normal", F.substring("normal", 1, depth).alias("prefix"))
-        keys = rows.select("doc_id", "prefix")
+        size = size * growth - size if len(levels) == 1 else size * growth
     done = levels[0]
     for level in levels[1:]:
         done = done.union(level)
-    return done.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "raw")
+    return done
+
+
+def exact_groups(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256."""
+    src = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return _levels(src, first, growth, True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
     """The rows that stay, with all their columns."""
-    # A null id gets a number of its own kind, so that both the join and the last step keep to one partitioning.
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = exact_groups(docs).where("kept").select(number.alias("__id"), F.col("raw").alias("__raw")).distinct()
-    marked = docs.withColumns({"__id": number, "__raw": F.xxhash64("text")})
-    return marked.join(kept, ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).drop("__id", "__raw")
+    src = numbered(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    own = src.select("row", F.col("doc.text").cast("binary").alias("text"), F.col("doc.doc_id").cast("long").alias("doc_id"))
+    gone = _levels(own, first, growth, False).where("NOT kept").select("row")
+    return src.join(gone, "row", "left_anti").select("doc.*")

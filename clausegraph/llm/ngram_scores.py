@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices, words, written
+from .common import id_and_bytes, mixed, slices, words, written
 
 ORDER, ALPHA = 2, 0.4
 CHUNK = 1_500_000  #: words of a chunk, unless a document has more
@@ -37,12 +37,6 @@ BUCKET = 1 << 20  #: n-grams of a bucket, about
 _CHUNK = "chunk long,doc_ids array<long>,lengths array<int>,vocabulary binary,sequence binary,n_words long"
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def planes(x: np.ndarray) -> bytes:
     """The numbers as planes of their first bytes, second bytes and so on: high planes are nearly all zero and compress away."""
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
