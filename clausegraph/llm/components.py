@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import forget, written
 
 
 def components(edges: DataFrame, u: str = "a", v: str = "b", most: int = 60) -> DataFrame:
     """node, root: the smallest node that each node of an edge reaches.
 
     Least neighbours are aggregated before the shuffle and joined back, so no node's neighbours are gathered in one
-    place. Each round's edges are checkpointed in the shared folder. Rounds grow as the logarithm of the longest path."""
-    shared_dir(edges.sparkSession)
-    now = edges.select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo")).where("hi > lo").distinct().checkpoint()
+    place. Each round's edges are a table in the shared folder, which goes when the next one stands. Rounds grow as the
+    logarithm of the longest path."""
+    now = written(edges.select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo")).where("hi > lo").distinct(), "edges")
     mark = _mark(now)
     for _ in range(most):
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "near")
-        least = both.groupBy("node").agg(F.min("near").alias("m")).select(_anew("node"), F.least("node", "m").alias("m"))
+        least = both.groupBy("node").agg(F.min("near").alias("m")).select(anew("node"), F.least("node", "m").alias("m"))
         large = both.join(least, "node").where("near > node AND near > m").select(F.col("near").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(least.select(_anew("hi"), "m"), "hi")
-        small = joined.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo")))
-        now = small.distinct().checkpoint()
+        joined = large.join(least.select(anew("hi"), "m"), "hi")
+        shrunk = joined.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo")))
+        last, now = now, written(shrunk.distinct(), "edges")
         before, mark = mark, _mark(now)
+        forget(last)
         if mark == before:
             break
     else:
@@ -32,8 +33,8 @@ def components(edges: DataFrame, u: str = "a", v: str = "b", most: int = 60) ->
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
 
 
-def _anew(key: str):
-    """The key, computed anew, so that a join deals out both sides itself and a node's edges can go to several tasks."""
+def anew(key: str):
+    """A long key, computed anew, so that a join deals out both sides itself and a key's rows can go to several tasks."""
     return F.col(key).bitwiseXOR(F.lit(0).cast("long")).alias(key)
 
 

@@ -1,21 +1,31 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-Fingerprints that differ in at most 2 * HALF bits have a common variant within HALF flips of each. Every distinct
-fingerprint goes to each bucket (the first bits of a variant) that one of its variants falls into, and the bucket makes
-those variants there, so the shuffle carries one fingerprint for a bucket rather than one row for a variant. Fingerprints
-that meet on a variant link to the least of them, which is within the distance by construction and is verified; links
-of all the pairs of a variant aren't made. Buckets at home to more than HOT fingerprints are dealt to several tasks by
-the hash of the variant. Components follow by star contraction.
-
-Words are runs of bytes other than space and \\t to \\r, after lower-casing A-Z; shingles are SHINGLE words, repeats
-included; fewer words make one shingle. Cases: null, empty and blank texts have fingerprint 0 and are linked like any
-other. Null ids take part; a component whose ids are all null has a null id, and `near_dedup` keeps one of its rows. `near_groups` repeats repeated rows; very long
-texts are hashed in blocks; other columns are ignored by `near_groups` and kept by `near_dedup`.
+Blocks of fingerprint bits that differ in at most 2 * half bits have a common variant within `half` flips of each. Every
+distinct block goes to each bucket (the first bits of a variant) that one of its variants falls into, and the bucket makes
+those variants there, so the shuffle carries one row for a bucket rather than one for a variant. A bucket that would make
+more than HOT variants is parted by the next STEP bits, again and again, as its rows have flips left for them, so a row is
+never sent to a part where it has no variant.
+
+`near_groups` takes the 64-bit fingerprint as one block: what meets on a variant links to the least that does, which is
+within the distance by construction and is verified. Components follow by star contraction.
+
+`near_dedup` looks for texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more, at which a
+64-bit fingerprint differs in ten bits, too many for one ball. Its fingerprints have 256 bits, of which each of TABLES blocks
+takes 32 (the first EXACT of them unflipped). What meets on a variant is compared by all 256 bits (LOOSE at most); a bucket
+keeps a least spanning forest of what is near. Of these candidates, each round takes the nearest ones of every text that
+lead out of its component, verifies them on the whole sets of shingles and joins components, until none is left untested.
+
+Words are runs of bytes other than space and \\t to \\r, after lower-casing A-Z; shingles of `near_groups` are SHINGLE words,
+repeats included; fewer words make one shingle. Cases: null, empty and blank texts have fingerprint 0 and are linked like any
+other; in `near_dedup` they are copies of each other and of nothing else. Null ids take part; a component whose ids are all
+null has a null id. `near_groups` repeats repeated rows, `near_dedup` keeps one row of a component; very long texts are
+hashed in blocks; other columns, whatever their names, are ignored by `near_groups` and kept by `near_dedup`.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -24,12 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_document, shared_dir
-from .components import components
+from .common import forget, mixed, per_document, slices, small, written
+from .components import anew, components
+from .exact import numbered
 
 SHINGLE, HALF = 4, 2
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+TABLES, BLOCK, EXACT = 64, 32, 8  #: blocks of a 256-bit fingerprint, their bits, and how many of those aren't flipped
+LOOSE = 56  #: bits of 256 in which candidates differ at most; texts of similarity 0.8 differ in 39, with a deviation of 6
 VARIANTS = 1 << 21  #: of an average bucket, and of a slice of a large one
-HOT = 1 << 15  #: fingerprints at home in a bucket beyond which its variants are dealt to several tasks
+HOT = 1 << 24  #: variants beyond which a bucket is parted
+STEP = 6  #: bits by which it is parted at a time
+BESIDE = 16  #: neighbours that are compared in a long run of equal variants
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -47,10 +63,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    return per_document(docs, "doc_id long,fp long", lambda _, texts: {"fp": [fingerprint(t, shingle) for t in texts]})
-
-
 def flips(bits: int, most: int) -> np.ndarray:
     """All numbers of `bits` bits with at most `most` set."""
     found = level = [0]
@@ -60,15 +72,47 @@ def flips(bits: int, most: int) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def links_in_bucket(fps: np.ndarray, bucket: int, bits: int, half: int, salt: int = 0, salts: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Links between distinct, ascending fingerprints that have a common variant in the bucket (and salt)."""
-    low_bits = 64 - bits
-    top = np.bitwise_count((fps >> np.uint64(low_bits)) ^ np.uint64(bucket)) if bits else np.zeros(len(fps), np.int64)
-    low = fps & np.uint64((1 << low_bits) - 1)
-    parts = [(np.flatnonzero(top == j), flips(low_bits, half - j)) for j in range(half + 1)]
+def ball(bits: int, most: int) -> int:
+    return sum(math.comb(bits, k) for k in range(most + 1))
+
+
+def dealt(rows: DataFrame, width: int, exact: int, half: int, bits: int) -> DataFrame:
+    """Rows (with `table` and `block`, of `width` bits) for each bucket (table, depth, prefix) that a variant falls into."""
+
+    def masks(start: int, n: int, most: int):
+        return F.array(*[F.struct(F.lit(int(m)).alias("mask"), F.lit(int(m).bit_count()).alias("flips")) for m in flips(max(0, min(n, start + n - exact)), most)])
+
+    first = rows.withColumn("ball", F.explode(masks(0, bits, half)))
+    now = first.withColumns({"prefix": F.shiftrightunsigned("block", width - bits).bitwiseXOR(F.col("ball.mask")), "left": half - F.col("ball.flips")}).drop("ball")
+    done, depth = [], bits
+    while True:
+        made = F.element_at(F.array(*[F.lit(ball(min(width - depth, width - exact), k)) for k in range(half + 1)]), F.col("left") + 1)
+        large = now.groupBy("table", "prefix").agg(F.sum(made).alias("made")).where(F.col("made") > HOT).select("table", "prefix", F.lit(True).alias("large"))
+        if depth + STEP > width or large.isEmpty():
+            done.append(now.withColumn("depth", F.lit(depth)))
+            break
+        both = now.join(small(large), ["table", "prefix"], "left")
+        done.append(both.where("large IS NULL").drop("large").withColumn("depth", F.lit(depth)))
+        nexts = F.shiftrightunsigned("block", width - depth - STEP).bitwiseAND(F.lit((1 << STEP) - 1))
+        part = both.where("large").drop("large").withColumn("ball", F.explode(F.element_at(F.array(*[masks(depth, STEP, k) for k in range(half + 1)]), F.col("left") + 1)))
+        prefix = F.shiftleft("prefix", STEP).bitwiseOR(nexts.bitwiseXOR(F.col("ball.mask")))
+        now, depth = part.withColumns({"prefix": prefix, "left": F.col("left") - F.col("ball.flips")}).drop("ball"), depth + STEP
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.drop("left")
+
+
+def meetings(blocks: np.ndarray, width: int, exact: int, half: int, prefix: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In slices: runs of equal variants in the bucket as run numbers (ascending) and places in `blocks` (ascending in a run).
+
+    Only runs of two members or more are told."""
+    rest = width - depth
+    top = np.bitwise_count((blocks >> np.uint64(rest)) ^ np.uint64(prefix)) if depth else np.zeros(len(blocks), np.int64)
+    low = blocks & np.uint64((1 << rest) - 1)
+    parts = [(np.flatnonzero(top == j), flips(min(rest, width - exact), half - j)) for j in range(half + 1)]
     total = sum(len(i) * len(m) for i, m in parts)
-    inner = max(1, -(-total // (2 * VARIANTS * salts)))
-    mult, found = np.uint64(0x9E3779B97F4A7C15), []
+    inner = max(1, -(-total // (2 * VARIANTS)))
     for part in range(inner):
         variants, who = [], []
         for index, masks in parts:
@@ -76,8 +120,8 @@ def links_in_bucket(fps: np.ndarray, bucket: int, bits: int, half: int, salt: in
             for k in range(0, len(masks), step):
                 v = (low[index][None, :] ^ masks[k : k + step, None]).ravel()
                 w = np.tile(index, len(masks[k : k + step]))
-                if salts * inner > 1:
-                    mine = (v * mult >> np.uint64(32)) % np.uint64(salts * inner) == salt * inner + part
+                if inner > 1:
+                    mine = mixed(v) % np.uint64(inner) == part
                     v, w = v[mine], w[mine]
                 variants.append(v)
                 who.append(w)
@@ -89,13 +133,19 @@ def links_in_bucket(fps: np.ndarray, bucket: int, bits: int, half: int, salt: in
         at = np.searchsorted(twice, v)
         at[at == len(twice)] = 0
         met = twice[at] == v
-        at, w = at[met], w[met]
-        least = np.full(len(twice), len(fps))
-        np.minimum.at(least, at, w)
-        a, b = least[at], w
-        found.append(np.unique((a * len(fps) + b)[a != b]))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    a, b = fps[pairs // len(fps)] if len(fps) else fps, fps[pairs % len(fps)] if len(fps) else fps
+        order = np.lexsort((w[met], at[met]))
+        yield at[met][order], w[met][order]
+
+
+def links_in_bucket(fps: np.ndarray, bucket: int, bits: int, half: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Links between distinct, ascending fingerprints that have a common variant in the bucket: to the least of a variant."""
+    found = [np.zeros(0, np.int64)]
+    for run, who in meetings(fps, width, 0, half, bucket, bits):
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        least = np.repeat(who[first], np.diff(np.append(first, len(run))))
+        found.append(np.unique((least * len(fps) + who)[least != who]))
+    pairs = np.unique(np.concatenate(found))
+    a, b = (fps[pairs // len(fps)], fps[pairs % len(fps)]) if len(fps) else (fps, fps)
     near = np.bitwise_count(a ^ b) <= 2 * half
     return a[near], b[near]
 
@@ -103,54 +153,211 @@ def links_in_bucket(fps: np.ndarray, bucket: int, bits: int, half: int, salt: in
 def links(distinct: DataFrame, half: int = HALF, bits: int | None = None) -> DataFrame:
     """a, b: links between the fingerprints of column fp that connect all those within 2 * half bits."""
     if bits is None:
-        ball = len(flips(64, half))
-        bits = min(24, max(4, math.ceil(math.log2(max(1, distinct.count()) * ball / VARIANTS + 1))))
-    home = F.shiftrightunsigned("fp", 64 - bits)
-    hot = distinct.groupBy(home.alias("bucket")).count().where(F.col("count") > HOT)
-    hot = hot.select("bucket", F.ceil(F.col("count") / HOT).cast("int").alias("salts"))  # at most a row for HOT fingerprints
-    masks = F.array(*[F.lit(int(m)) for m in flips(bits, half)])
-    dealt = (
-        distinct.select("fp", home.alias("home"), F.explode(masks).alias("mask"))
-        .select("fp", F.col("home").bitwiseXOR(F.col("mask")).alias("bucket"))
-        .join(F.broadcast(hot), "bucket", "left")
-        .select("fp", "bucket", F.coalesce("salts", F.lit(1)).alias("salts"))
-        .select("fp", "bucket", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    )
+        bits = max(4, math.ceil(math.log2(max(1, distinct.count()) * ball(64, half) / VARIANTS + 1)))
+        bits = min(bits, 24)  # more first bits only make buckets smaller; those that are too large are parted anyhow
 
     def meet(bucket: pa.Table) -> pa.Table:
         fps = np.unique(bucket["fp"].to_numpy().view(np.uint64))
-        a, b = links_in_bucket(fps, bucket["bucket"][0].as_py(), bits, half, bucket["salt"][0].as_py(), bucket["salts"][0].as_py())
+        a, b = links_in_bucket(fps, bucket["prefix"][0].as_py(), bucket["depth"][0].as_py(), half)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("bucket", "salt").applyInArrow(meet, "a long,b long")
+    rows = dealt(distinct.select("fp", F.lit(0).alias("table"), F.col("fp").alias("block")), 64, 0, half, bits)
+    return rows.select("fp", "depth", "prefix").groupBy("depth", "prefix").applyInArrow(meet, "a long,b long")
 
 
-def _grouped(docs: DataFrame, shingle: int, half: int, raw: bool = False) -> DataFrame:
-    """doc_id, fp, root, component_id and, with `raw`, xxhash64 of the text as it stands."""
-    shared_dir(docs.sparkSession)
-    marked = (per_document(docs, "doc_id long,fp long,raw long", lambda _, texts: {"fp": [fingerprint(t, shingle) for t in texts], "raw": [text_hash(t) for t in texts]}) if raw else fingerprints(docs, shingle)).checkpoint()
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least id of the component)."""
+    marked = written(per_document(docs, "doc_id long,fp long", lambda _, texts: {"fp": [fingerprint(t, shingle) for t in texts]}), "fingerprints")
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), half))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(anew("root"), "component_id")
+    found = marked.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least id of the component)."""
-    return _grouped(docs, shingle, half).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+# texts of high similarity
+
+
+def shingle_sets(texts: list[bytes | None], shingle: int = COPY_SHINGLE) -> list[np.ndarray]:
+    """For each text the ascending hashes of its distinct shingles."""
+    numbers: dict[bytes, int] = {}
+    coded = [[numbers.setdefault(x, len(numbers)) for x in t.lower().split()] if t else [] for t in texts]
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)
+    out = []
+    for c in coded:
+        h = hashes[c] if c else np.zeros(0, np.uint64)
+        key = mixed(h)
+        for n in range(1, min(shingle, len(h))):
+            key = mixed(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[n:])
+        out.append(np.unique(key))
+    return out
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256 bits as 4 numbers; zero without shingles."""
+    total = np.zeros(256, np.int64)
+    for k in range(0, len(hashes), 255 * 256):
+        part = hashes[k : k + 255 * 256]
+        words = np.stack([mixed(part + np.uint64(0x9E3779B97F4A7C15 * j % 2**64)) for j in range(1, 5)], axis=1)
+        bits = np.unpackbits(words.view(np.uint8), axis=1)
+        whole = len(bits) // 255 * 255
+        total += bits[:whole].reshape(-1, 255, 256).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(hashes)).view(np.uint64)
+
+
+def taken_bits(table: int) -> np.ndarray:
+    """The bits of 256 that a table's block takes."""
+    return np.random.RandomState(table).permutation(256)[:BLOCK]
+
+
+def bits_of(prints: np.ndarray) -> np.ndarray:
+    """The 256 bits of each fingerprint (rows of 4 numbers), a byte each."""
+    return np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 32), axis=1)
+
+
+def blocks_of(bits: np.ndarray, table: int) -> np.ndarray:
+    """The table's block of each fingerprint's bits."""
+    return np.ascontiguousarray(np.packbits(bits[:, taken_bits(table)], axis=1)).view(">u4").ravel().astype(np.uint64)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the edges, taken in order, that join two trees of a forest."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        if (p := find(x)) != (q := find(y)):
+            parent[max(p, q)] = min(p, q)
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def candidates_in_bucket(prints: np.ndarray, table: int, prefix: int, depth: int, half: int = 1, loose: int = LOOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of near fingerprints and the bits in which they differ: a least spanning forest of what meets in the bucket.
+
+    In a run of equal variants each is compared with the first and with the BESIDE that follow it."""
+    n, found = len(prints), [np.zeros(0, np.int64)]
+    for run, who in meetings(blocks_of(bits_of(prints), table), BLOCK, EXACT, half, prefix, depth):
+        first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        least = np.repeat(who[first], np.diff(np.append(first, len(run))))
+        found.append(np.unique((least * n + who)[least != who]))
+        for k in range(1, min(BESIDE, len(run) - 1) + 1):
+            same = run[k:] == run[:-k]
+            if not same.any():
+                break
+            found.append(np.unique(who[:-k][same] * n + who[k:][same]))
+    pairs = np.unique(np.concatenate(found))
+    a, b = pairs // max(1, n), pairs % max(1, n)
+    apart = np.concatenate([np.bitwise_count(prints[a[k : k + VARIANTS]] ^ prints[b[k : k + VARIANTS]]).sum(axis=1) for k in range(0, len(a), VARIANTS)] or [np.zeros(0, np.int64)]).astype(np.int64)
+    near = np.flatnonzero(apart <= loose)
+    near = near[np.argsort(apart[near], kind="stable")]
+    near = near[spanning(a[near], b[near])]
+    return a[near], b[near], apart[near]
+
+
+_PRINT = ["p0", "p1", "p2", "p3"]
+
+
+def _as_prints(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.stack([np.asarray(table.column(c)).view(np.uint64) for c in _PRINT], axis=1)
+
+
+def _marks(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingle_sets(part.column(1).to_pylist(), shingle)
+                prints = np.stack([wide_fingerprint(s) for s in sets])
+                sums = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                columns = [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(prints[:, j]).view(np.int64)) for j in range(4)]], names=["row", "doc_id", "shingles", "sums", *_PRINT])
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = bits_of(_as_prints(batch))
+        for table in range(TABLES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(c) for c in _PRINT], pa.array(np.full(len(bits), table, np.int32)), pa.array(blocks_of(bits, table).view(np.int64))], names=["node", *_PRINT, "table", "block"])
+
+
+def _meet(bucket: pa.Table) -> pa.Table:
+    nodes = bucket["node"].to_numpy()
+    a, b, apart = candidates_in_bucket(_as_prints(bucket.combine_chunks()), bucket["table"][0].as_py(), bucket["prefix"][0].as_py(), bucket["depth"][0].as_py())
+    return pa.table({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b]), "apart": apart})
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), shingle)], pa.binary())], names=["node", "hashes"])
+
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
+
+    return run
+
 
+def similar_components(candidates: DataFrame, sets: DataFrame, similarity: float, ways: int = 4) -> DataFrame:
+    """node, root: components by those of the candidates (a, b, apart) that have at least this similarity.
 
-def text_hash(text: bytes | None) -> int:
-    """Spark's xxhash64 of a text."""
-    return 42 if text is None else (xxhash.xxh64_intdigest(text, 42) ^ 1 << 63) - (1 << 63)
+    A round tests for each node the nearest candidates (of each of `ways` classes of partners) that lead to another component
+    and weren't tested; the nearest are aggregated map-side, so a node with many candidates isn't gathered anywhere."""
+    left, links_ = candidates, None
+    while True:
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other"), "apart").union(left.select("b", "a", "apart"))
+        classes = [F.min(F.when(F.pmod(F.xxhash64("other"), F.lit(ways)) == k, F.struct("apart", "other"))).alias(f"n{k}") for k in range(ways)]
+        nearest = ends.groupBy("node").agg(*classes).select("node", F.explode(F.filter(F.array(*[f"n{k}" for k in range(ways)]), lambda x: x.isNotNull())).alias("n"))
+        pairs = nearest.select(F.least("node", "n.other").alias("a"), F.greatest("node", "n.other").alias("b")).distinct()
+        with_a = pairs.join(sets.select(anew("node").alias("a"), F.col("hashes").alias("x")), "a")
+        with_b = with_a.join(sets.select(anew("node").alias("b"), F.col("hashes").alias("y")), "b")
+        tested = written(with_b.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long,b long,alike boolean"), "tested")
+        good = tested.where("alike").select("a", "b")
+        links_ = good if links_ is None else links_.union(good)
+        roots = written(components(links_), "roots")
+        of = lambda end: roots.select(anew("node").alias(end), F.col("root").alias(f"root_{end}"))
+        untested = left.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+        last, left = left, written(untested.where(apart).select("a", "b", "apart"), "untested")
+        forget(last)
+        if left.isEmpty():
+            return roots
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
-    """One row of each component, with all its columns: of the least id (null if there is no other) and, of its texts, the least hash."""
-    # Null ids are one number to the join, and texts tell their rows apart.
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    first = _grouped(docs, shingle, half, raw=True).where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("raw").alias("__raw"))
-    kept = first.select(number.alias("__id"), "__raw")
-    marked = docs.withColumns({"__id": number, "__raw": F.xxhash64("text")})
-    return marked.join(kept, ["__id", "__raw"], "left_semi").dropDuplicates(["__id", "__raw"]).drop("__id", "__raw")
+def near_dedup(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component of similar texts, with all its columns: the one of the least id, a null id last."""
+    src = numbered(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    own = src.select("row", F.col("doc.text").cast("binary").alias("text"), F.col("doc.doc_id").cast("long").alias("doc_id"))
+    marks = written(own.mapInArrow(_marks(shingle), "row long,doc_id long,shingles long,sums long,p0 long,p1 long,p2 long,p3 long"), "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = written(marks.groupBy("shingles", "sums", *_PRINT).agg(F.min("row").alias("node"), first.alias("first")), "nodes")
+    full = nodes.where("shingles > 0").select("node", *_PRINT)
+    bits = max(4, min(EXACT, math.ceil(math.log2(max(1, nodes.count()) / (1 << 12)))))
+    met = dealt(full.mapInArrow(_blocks, "node long,p0 long,p1 long,p2 long,p3 long,table int,block long"), BLOCK, EXACT, 1, bits)
+    pairs = met.drop("block").groupBy("table", "depth", "prefix").applyInArrow(_meet, "a long,b long,apart long")
+    candidates = written(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
+    ends = candidates.select(F.col("a").alias("row")).union(candidates.select("b")).distinct()
+    sets = written(own.join(small(ends), "row", "left_semi").select("row", "text").mapInArrow(_sets(shingle), "node long,hashes binary"), "sets")
+    roots = similar_components(candidates, sets, similarity)
+    rooted = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "first")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    gone = written(marks.select("row").join(stay, "row", "left_anti"), "gone")
+    return src.join(small(gone), "row", "left_anti").select("doc.*")
