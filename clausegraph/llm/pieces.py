@@ -2,7 +2,8 @@
 
 The model's own normaliser is applied by longest-prefix lookups in its compiled character map (a double-array trie over
 UTF-8 bytes followed by a pool of replacements). Each normalised byte keeps the source byte it comes from, so every
-piece of the encoded text projects to a span of original bytes. The merges themselves are the sentencepiece library's.
+piece of the encoded text projects to a span of original bytes. The library only merges: it gets the normalised text and a
+copy of the model whose own normalisation is taken out.
 
 Cases: a null or empty text has no pieces and decodes to the empty text. Very long texts are encoded whole. Repeated
 rows give repeated rows. Other columns of the input are ignored. A text in which invalid UTF-8 stands is decoded with
@@ -117,13 +118,27 @@ class Normaliser:
         return got, source
 
 
+def message(number: int, value: bytes) -> bytes:
+    """A field of a protocol buffer message that holds a message."""
+    head, n = bytes([number << 3 | 2]), len(value)
+    while n > 127:
+        head, n = head + bytes([n & 127 | 128]), n >> 7
+    return head + bytes([n]) + value
+
+
+#: A normaliser's message that changes nothing: no character map, no prefix, blanks neither removed nor escaped.
+NO_NORMALISER = bytes([3 << 3, 0, 4 << 3, 0, 5 << 3, 0])
+
+
 class Encoder:
-    """The library's processor for a serialised model, with the normaliser that aligns its pieces."""
+    """The model's normaliser, the library's merges over what it makes, and the alignment of the pieces."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+        rest = b"".join(message(n, v) for n, v in fields(model) if n in (1, 2))
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=rest + message(3, NO_NORMALISER))
         pieces, spec, byte_fallback = [], b"", 0
         for n, value in fields(model):
             if n == 1:
@@ -136,22 +151,29 @@ class Encoder:
         #: Bytes of normalised text for each id; a piece for a byte is one byte.
         self.sizes = np.array([1 if p.get(3, 1) == 6 else len(p.get(1, b"")) for p in pieces])
         self.aligned = bool(byte_fallback)
+        self.shown = [str(k) for k in range(len(pieces))]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.lib.encode(texts, num_threads=1) if texts else []
-
-    def bounds(self, text: bytes, ids: list[int]) -> np.ndarray:
-        """Source bytes at which pieces begin, and the end: piece k is text[bounds[k]:bounds[k + 1]]."""
+    def encode(self, text: bytes) -> tuple[list[int], np.ndarray]:
+        """Ids, and the source bytes at which pieces begin, and the end: piece k is text[bounds[k]:bounds[k + 1]]."""
         normal, source = self.normaliser.normal(text)
+        ids = self.merges.encode(normal.decode(), num_threads=1) if normal else []
         if not ids:
-            return source[-1:]
+            return [], source[-1:]
         if self.aligned:
             ends = np.cumsum(self.sizes[ids])
         else:
-            ends = np.cumsum([len(p.surface.encode()) for p in self.lib.encode(normal.decode(), out_type="immutable_proto").pieces])
+            ends = np.cumsum([len(p.surface.encode()) for p in self.merges.encode(normal.decode(), out_type="immutable_proto").pieces])
         if ends[-1] != len(normal):
             raise ValueError(f"{ends[-1]} bytes of pieces over {len(normal)} bytes of normalised text")
-        return np.concatenate([source[:1], source[ends]])
+        return ids, np.concatenate([source[:1], source[ends]])
+
+    def decode(self, ids: list[int]) -> str:
+        return self.lib.decode(ids) if ids else ""
+
+
+def well_formed(text: bytes) -> bytes:
+    """The text with replacement characters where it isn't UTF-8."""
+    return text.decode("utf-8", "replace").encode()
 
 
 @lru_cache(2)
@@ -165,9 +187,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     `model` is the path of a SentencePiece model; the driver reads it, and tasks carry its bytes (under a megabyte)."""
 
     def work(coder: Encoder, texts: list[bytes]) -> dict[str, list]:
-        plain = [t.decode("utf-8", "replace") for t in texts]
-        ids = coder.ids(plain)
-        return {"ids": ids, "starts": [coder.bounds(t.encode(), x) for t, x in zip(plain, ids)], "decoded": [coder.lib.decode(x) if x else "" for x in ids]}
+        got = [coder.encode(t) for t in texts]
+        return {"ids": [x for x, _ in got], "starts": [x for _, x in got], "decoded": [coder.decode(x) for x, _ in got]}
 
     return _per_text(docs, model, "doc_id long,ids array<int>,starts array<long>,decoded string", work)
 
@@ -176,10 +197,8 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), starts (as `encode`), round_trip (whether the ids decode to the text)."""
 
     def work(coder: Encoder, texts: list[bytes]) -> dict[str, list]:
-        plain = [t.decode("utf-8", "replace") for t in texts]
-        ids = coder.ids(plain)
-        starts = [coder.bounds(t.encode(), x) for t, x in zip(plain, ids)]
-        return {"n_tokens": [len(x) for x in ids], "ids": ids, "starts": starts, "round_trip": [(coder.lib.decode(x) if x else "") == t for t, x in zip(plain, ids)]}
+        got = [coder.encode(t) for t in texts]
+        return {"n_tokens": [len(x) for x, _ in got], "ids": [x for x, _ in got], "starts": [x for _, x in got], "round_trip": [coder.decode(x).encode() == t for t, (x, _) in zip(texts, got)]}
 
     return _per_text(docs, model, "doc_id long,n_tokens long,ids array<int>,starts array<long>,round_trip boolean", work)
 
@@ -188,15 +207,12 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
     """As `encode`, with digests for the columns that are longer than the text: n_tokens, ids_sha256, decoded_sha256, starts_sha256."""
 
     def work(coder: Encoder, texts: list[bytes]) -> dict[str, list]:
-        plain = [t.decode("utf-8", "replace") for t in texts]
-        ids = coder.ids(plain)
-        shown = [str(k) for k in range(len(coder.sizes))]
-        digest = lambda b: hashlib.sha256(b).hexdigest()
+        digest, got = lambda b: hashlib.sha256(b).hexdigest(), [coder.encode(t) for t in texts]
         return {
-            "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [digest(",".join([shown[k] for k in x]).encode()) for x in ids],
-            "decoded_sha256": [digest(coder.lib.decode(x).encode("utf-8", "replace") if x else b"") for x in ids],
-            "starts_sha256": [digest(coder.bounds(t.encode(), x).astype("<i8").tobytes()) for t, x in zip(plain, ids)],
+            "n_tokens": [len(x) for x, _ in got],
+            "ids_sha256": [digest(",".join([coder.shown[k] for k in x]).encode()) for x, _ in got],
+            "decoded_sha256": [digest(coder.decode(x).encode("utf-8", "replace")) for x, _ in got],
+            "starts_sha256": [digest(x.astype("<i8").tobytes()) for _, x in got],
         }
 
     return _per_text(docs, model, "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string,starts_sha256 string", work)
@@ -212,7 +228,7 @@ def _per_text(docs: DataFrame, model: str, schema: str, work) -> DataFrame:
         coder = encoder(blob)
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                made = work(coder, [t or b"" for t in part.column(1).to_pylist()])
+                made = work(coder, [well_formed(t or b"") for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0) if n == "doc_id" else pa.array(made[n], kinds.field(n).type) for n in names], names=names)
 
     return id_and_bytes(docs).mapInArrow(run, schema)
