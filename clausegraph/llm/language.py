@@ -3,8 +3,8 @@
 Each language has a distribution over hashed byte trigrams of words, counted over every training text. A document's
 trigrams are drawn from a mixture of languages: expectation-maximisation starts from all of them and estimates the
 proportions, and of nested sets of languages (the one with the least fitted proportion leaves first) the one with the best
-penalised likelihood is selected. The prediction is the set's largest proportion; the score is that language's proportion
-before selection. Work grows with the square of the number of languages, and slices of text shrink with it.
+penalised likelihood is selected. The prediction is the selected set's largest proportion; the score is that language's
+proportion before selection. Work grows with the square of the number of languages, and slices of text shrink with it.
 
 Cases: null texts and texts without a letter are `und` with score 0. Texts with letters that no training text has are
 equally likely in all languages, and ties go to the first language by name. Rows without a language or an id don't
@@ -78,13 +78,15 @@ def profiles(docs: DataFrame, held_out: str) -> tuple[list[str], np.ndarray]:
     return langs, np.log(table / table.sum(axis=0))
 
 
-def mixtures(texts: list[bytes | None], log_p: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """The most likely language of each text, and the proportions of all languages (those of the first, full mixture)."""
+def mixtures(texts: list[bytes | None], log_p: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most likely language of each text, the proportions of all languages (those of the first, full mixture), and
+    those of the selected set (0 outside it)."""
     d, f, c = trigrams(texts)
     n, k = len(texts), log_p.shape[1]
     proportions, best = np.full((n, k), 1 / k), np.zeros(n, np.int64)
+    selected = np.zeros((n, k))
     if not len(d):
-        return best, proportions
+        return best, proportions, selected
     there, first = np.unique(d, return_index=True)
     row = np.searchsorted(there, d)
     logs = log_p[f]
@@ -113,26 +115,31 @@ def mixtures(texts: list[bytes | None], log_p: np.ndarray, steps: int = STEPS, p
             active[np.arange(len(least)), least] = False
             pi = np.where(active, np.maximum(pi, 1e-9), 0)
             pi /= pi.sum(axis=1, keepdims=True)
-    proportions[there], best[there] = full, chosen.argmax(axis=1)
-    return best, proportions
+    proportions[there], best[there], selected[there] = full, chosen.argmax(axis=1), chosen
+    return best, proportions, selected
 
 
 def identify(docs: DataFrame, held_out: str = "crc32(CAST(doc_id AS STRING)) % 4 = 2") -> DataFrame:
-    """doc_id, held_out, lang_pred, score. `held_out` is the SQL of the rows that don't train."""
+    """doc_id, held_out, lang_pred, score, languages (the selected set by name) and proportions (of each of them).
+
+    `held_out` is the SQL of the rows that don't train."""
     held_out = f"coalesce({held_out}, false)"
     langs, log_p = profiles(docs, held_out)
-    kinds = arrow_schema("doc_id long,lang_pred string,score double")
+    schema = "doc_id long,lang_pred string,score double,languages array<string>,proportions array<double>"
+    kinds = arrow_schema(schema)
     most = (8 << 20) * 4 // max(4, len(langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most):
                 texts = part.column(1).to_pylist()
-                best, share = mixtures(texts, log_p) if langs else ([0] * len(texts), np.zeros((len(texts), 1)))
+                best, share, chosen = mixtures(texts, log_p) if langs else ([0] * len(texts), *[np.zeros((len(texts), 1))] * 2)
                 known = [bool(langs) and has_letter(t) for t in texts]
                 pred = [langs[b] if ok else "und" for b, ok in zip(best, known)]
                 score = [float(min(1.0, share[i, best[i]])) if ok else 0.0 for i, ok in enumerate(known)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score)], schema=kinds)
+                sets = [np.flatnonzero(chosen[i]) if ok else [] for i, ok in enumerate(known)]
+                columns = [pa.array(pred, pa.string()), pa.array(score), pa.array([[langs[j] for j in x] for x in sets], kinds.field("languages").type), pa.array([[float(chosen[i, j]) for j in x] for i, x in enumerate(sets)], kinds.field("proportions").type)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=kinds)
 
-    found = id_and_bytes(docs).mapInArrow(run, "doc_id long,lang_pred string,score double")
-    return found.select("doc_id", F.expr(held_out).alias("held_out"), "lang_pred", "score")
+    found = id_and_bytes(docs).mapInArrow(run, schema)
+    return found.select("doc_id", F.expr(held_out).alias("held_out"), "lang_pred", "score", "languages", "proportions")
