@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_and_bytes, keep_rows, slices, words
+from .common import arrow_schema, id_and_bytes, keep_rows, slices, words, written
 
 SHARD = 1 << 20  #: symbols of a shard
 SAMPLE = 8  #: every so many positions are sampled
-BLOCK_BYTES = 16 << 20  #: benchmark text carried by a pass; more text takes more passes
+BLOCK_BYTES = 4 << 20  #: benchmark text carried by a pass (its phrases take some 14 times that); more text takes more passes
 
 
 class FMIndex:
@@ -221,26 +221,32 @@ def without(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, text[end:]])
 
 
-def phrase_blocks(benchmark: DataFrame, size: int) -> Iterator[Phrases]:
-    """The phrases of the benchmark, in blocks of about BLOCK_BYTES of its text; its size is checked first."""
+def benchmark_blocks(benchmark: DataFrame) -> tuple[int, DataFrame]:
+    """How many blocks of about BLOCK_BYTES of text the benchmark makes, and its items."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    for block in range(blocks):
-        own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield Phrases([(r.item_id, None if r.text is None else bytes(r.text)) for r in own.sort("item_id", "text").collect()], size)
+    return max(1, -(-total // BLOCK_BYTES)), rows
+
+
+def phrases_of(rows: DataFrame, block: int, blocks: int, size: int) -> Phrases:
+    """The phrases of a block, which the driver reads; its size is bounded by the number of blocks."""
+    own = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    return Phrases([(r.item_id, None if r.text is None else bytes(r.text)) for r in own.sort("item_id", "text").collect()], size)
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, cut: bool = False) -> DataFrame:
     """doc_id, n_words, spans (array<long> of starts and ends in words), items (array<string>) and, with `cut`, text without the spans.
 
     A pass carries at most about BLOCK_BYTES of benchmark text to the executors, as checked; larger benchmarks are dealt
-    by hash into several passes over the documents, whose spans and items are merged document by document."""
+    by hash into several passes over the documents, whose spans and items are merged document by document. What a pass finds
+    is written before the next block comes, so the driver holds one block at a time."""
     schema = "doc_id long,text binary,n_words long,spans array<long>,items array<string>"
     df = id_and_bytes(docs).selectExpr("doc_id", "text", "0L AS n_words", "CAST(array() AS array<long>) AS spans", "CAST(array() AS array<string>) AS items")
-    blocks = list(phrase_blocks(benchmark, size))
-    for phrases in blocks:
-        df = df.mapInArrow(_pass(phrases, phrases is blocks[-1], cut), schema)
+    blocks, rows = benchmark_blocks(benchmark)
+    for block in range(blocks):
+        last = block == blocks - 1
+        df = df.mapInArrow(_pass(phrases_of(rows, block, blocks, size), last, cut), schema)
+        df = df if last else written(df, "spans")
     return df if cut else df.drop("text")
 
 
@@ -271,6 +277,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows whose text holds no phrase, with all their columns."""
-    for phrases in phrase_blocks(benchmark, size):
+    blocks, rows = benchmark_blocks(benchmark)
+    for block in range(blocks):
+        phrases = phrases_of(rows, block, blocks, size)
         docs = keep_rows(docs, lambda texts, p=phrases: [not s for s in p.scan(texts, [[]] * len(texts), [[]] * len(texts))[1]])
+        docs = docs if block == blocks - 1 else written(docs, "clean")
     return docs

@@ -292,19 +292,37 @@ def trained(n: int = TRAINING_SPANS, precision: float = MIN_PRECISION, seed: int
     return model, thresholds
 
 
+def merged(spans: list[tuple[str, int, int]]) -> list[int]:
+    """Starts and ends, in turn and ascending, of what the spans cover."""
+    out: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def is_free(covered: list[int], start: int, end: int) -> bool:
+    """Whether a span overlaps none of what is covered."""
+    at = bisect_right(covered, start)
+    return at % 2 == 0 and (at == len(covered) or end <= covered[at])
+
+
 def all_spans(texts: list[str], model: Boosted, thresholds: dict[str, float]) -> list[tuple[list, list]]:
     """For each text its base spans, and those with the added ones, both in the order of kinds and starts."""
     base = [base_spans(t) for t in texts]
     extra: list[list] = [[] for _ in texts]
-    ahead = ((k, c) for k, t in enumerate(texts) for c in proposals(t) if all(c[2] <= a or b <= c[1] for _, a, b in base[k]))
+    covered = [merged(b) for b in base]
+    ahead = ((k, c) for k, t in enumerate(texts) for c in proposals(t) if is_free(covered[k], c[1], c[2]))
     good: list[tuple] = []
     while block := list(islice(ahead, SCORED)):
         p = model.probability(np.array([features(texts[k], *c) for k, c in block]))
         good += [(-x, k, c) for x, (k, c) in zip(p.tolist(), block) if x >= thresholds[c[0]]]
     taken: list[list] = [[] for _ in texts]  # starts and ends of the added spans, ascending
     for _, k, (kind, a, b) in sorted(good, key=lambda g: g[0]):
-        at = bisect_right(taken[k], a)
-        if at % 2 == 0 and (at == len(taken[k]) or b <= taken[k][at]):
+        if is_free(taken[k], a, b):
+            at = bisect_right(taken[k], a)
             taken[k][at:at] = [a, b]
             extra[k].append((kind, a, b))
     in_order = lambda s: sorted(s, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
