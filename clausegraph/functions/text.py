@@ -22,6 +22,11 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def stripped(x: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c(x), F.lit(" \t\n\r\f\v"))
+
+
 def lines(text: Column | str) -> Column:
     """Lines as an array; a last line end makes no empty line."""
     return F.split(F.regexp_replace(c(text), f"(?:{LINE_END})\\z", ""), LINE_END, -1)
@@ -80,14 +85,24 @@ def packed(text: Column | str, most: int = 1800, carry: int = 260) -> Column:
     return F.when(t == "", empty).when(F.length(t) <= most, F.array(t)).otherwise(F.aggregate(sentences(t), start, step, done))
 
 
+def _after_colon(paragraph: Column | str) -> tuple[Column, Column]:
+    """Where the first colon stands, and the texts between item marks after it."""
+    p = c(paragraph)
+    cut = F.instr(p, ":")
+    return cut, F.split(F.substring(p, cut + 1, F.length(p)), ITEM_MARK, -1)
+
+
+def first_item_body(paragraph: Column | str) -> Column:
+    """What stands between the first item mark and the second."""
+    return stripped(F.get(_after_colon(paragraph)[1], F.lit(1)))
+
+
 def list_items(paragraph: Column | str) -> Column:
     """`preamble: (a) x (b) y` as an array of preamble with each item; null unless it has two marks or more."""
     p = c(paragraph)
-    cut = F.instr(p, ":")
-    head, tail = F.substring(p, F.lit(1), cut), F.substring(p, cut + 1, F.length(p))
-    bodies = F.split(tail, ITEM_MARK, -1)
-    marks = F.transform(F.regexp_extract_all(tail, F.lit(f"({ITEM_MARK})"), 1), lambda m: F.trim(m))
-    prefix = F.trim(F.concat(F.trim(head), F.lit(" "), F.trim(F.get(bodies, F.lit(0)))))
+    cut, bodies = _after_colon(p)
+    marks = F.transform(F.regexp_extract_all(F.substring(p, cut + 1, F.length(p)), F.lit(f"({ITEM_MARK})"), 1), stripped)
+    prefix = stripped(F.concat(stripped(F.substring(p, F.lit(1), cut - 1)), F.lit(": "), stripped(F.get(bodies, F.lit(0)))))
     pairs = F.arrays_zip(marks.alias("mark"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("body"))
-    items = F.transform(F.filter(pairs, lambda x: F.trim(x["body"]) != ""), lambda x: F.concat_ws(" ", prefix, x["mark"], F.trim(x["body"])))
+    items = F.transform(F.filter(pairs, lambda x: stripped(x["body"]) != ""), lambda x: F.concat_ws(" ", prefix, x["mark"], stripped(x["body"])))
     return F.when((cut > 0) & (F.size(marks) >= 2), items)

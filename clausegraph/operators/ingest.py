@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,120 +95,95 @@ def glyph_lines(glyphs: DataFrame, gap: float = 2.5, step: int = 4) -> DataFrame
     return made.groupBy("doc_id", "page_no").agg(F.array_join(whole, "\n").alias("text"))
 
 
+# the whole chunker
+
+
+def filled_paragraphs(pages: DataFrame, least: int = 60) -> DataFrame:
+    """doc_id, para, text: paragraphs begin at headers, and at blank lines once what stands before is a header's or has `least` characters.
+
+    Blocks between blank lines and headers come from running sums. Only runs of short blocks need a fold, a run at a time."""
+    whole = Window.partitionBy("doc_id").orderBy("page_no", "pos")
+    rows = pages.select("doc_id", "page_no", F.posexplode(F.split("text", tx.LINE_END, -1)).alias("pos", "line"))  # a page ends a line
+    rows = rows.withColumn("line", tx.stripped("line")).withColumn("head", tx.header("line")).withColumn("gap", F.lag("line", 1, "").over(whole) == "")
+    rows = rows.withColumn("block", F.count_if(F.col("head") | F.col("gap")).over(whole)).where("line <> ''")
+    joined = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, value))), lambda x: x[value]), " ")
+    blocks = rows.groupBy("doc_id", "block").agg(joined(["page_no", "pos"], "line").alias("text"), F.bool_or("head").alias("head"))
+    by_block = Window.partitionBy("doc_id").orderBy("block")
+    done = F.col("head") | (F.length("text") >= least)
+    runs = blocks.withColumn("run", F.count_if(F.col("head") | F.lag(done, 1, True).over(by_block)).over(by_block))
+    empty = F.array().cast("array<string>")
+
+    def fill(acc, b):
+        new = acc["last"].isNull() | (F.length(acc["last"]) >= least)
+        closed = F.when(new & acc["last"].isNotNull(), F.concat(acc["out"], F.array(acc["last"]))).otherwise(acc["out"])
+        return F.struct(closed.alias("out"), F.when(new, b["text"]).otherwise(F.concat_ws(" ", acc["last"], b["text"])).alias("last"))
+
+    start = F.struct(empty.alias("out"), F.lit(None).cast("string").alias("last"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "text")))
+    made = runs.groupBy("doc_id", "run").agg(F.aggregate(ordered, start, fill, lambda acc: F.concat(acc["out"], F.array(acc["last"]))).alias("texts"))
+    paragraphs = made.select("doc_id", "run", F.posexplode("texts").alias("nth", "text"))
+    return paragraphs.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "nth")).alias("para"), "text")
+
+
+def labelled_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """Adds parent, and `title` for paragraphs that are nothing but a header: labels are filled forward from headers."""
+    upto = Window.partitionBy("doc_id").orderBy("para")
+    head, sub = F.col("text").rlike(tx.HEADER), F.col("text").rlike(tx.SUBSECTION)
+    stop = F.instr("text", ".")
+    top = F.when(head & ~sub & ~F.col("title") & stop.between(2, 40), tx.stripped(F.substring(F.col("text"), F.lit(1), stop)))
+    rows = paragraphs.withColumn("title", (head | sub) & (F.length("text") < 60)).withColumn("own_top", top)
+    rows = rows.withColumn("top", F.coalesce(F.last("own_top", ignorenulls=True).over(upto), F.lit("General")))
+    under = F.concat_ws(" ", "top", F.regexp_replace(tx.stripped(F.regexp_extract("text", tx.SUBSECTION, 0)), r"\.+$", ""))
+    label = F.when(F.col("title"), F.col("text")).when(sub, under).otherwise(F.col("own_top"))
+    return rows.withColumn("parent", F.coalesce(F.last(label, ignorenulls=True).over(upto), F.lit("General"))).drop("own_top", "top")
+
+
+def chunk_bodies(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, seq, parent, lead, own: what each chunk holds of its own, and whether an overlap goes before it.
+
+    Items of lists and parts of long paragraphs are rows; guards are joined to the chunk before."""
+    items, first = tx.list_items("text"), tx.first_item_body("text")
+    guard = ~F.col("title") & F.col("text").rlike(tx.GUARD) & (F.col("para") > 1)
+    texts = F.when(F.col("title") | guard, F.array("text")).otherwise(F.coalesce(items, tx.packed("text")))
+    rows = paragraphs.withColumns({"guard": guard, "first": ~F.col("title") & (items.isNull() | (first != ""))})
+    rows = rows.select("doc_id", "para", "parent", "guard", "first", F.posexplode(texts).alias("item", "text"))
+    whole = Window.partitionBy("doc_id").orderBy("para", "item")
+    rows = rows.withColumn("seq", F.count_if(~F.col("guard")).over(whole))
+    parts = F.array_sort(F.collect_list(F.struct("para", "item", "text", "parent", "first")))
+    made = rows.groupBy("doc_id", "seq").agg(parts.alias("parts")).withColumn("p", F.col("parts")[0])
+    lead = F.col("p.first") & (F.col("p.item") == 0) & ~F.col("p.text").rlike(tx.BODY_HEADER) & (F.col("seq") > 1)
+    return made.select("doc_id", "seq", "p.parent", lead.alias("lead"), F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("own"))
+
+
+def with_overlaps(bodies: DataFrame, sentences: int = 3) -> DataFrame:
+    """doc_id, seq, parent, body: a leading chunk begins with the last sentences, boilerplate left out, of the one before.
+
+    Those follow from the own text of the one before if it has enough of them beyond its first, or no overlap itself. Only
+    where it hasn't does an overlap depend on the overlap before, and a fold runs along that chain."""
+    plain = lambda all_: F.filter(all_, lambda s: ~tx.is_boilerplate(s))
+    tail = lambda all_: F.array_join(F.slice(all_, F.greatest(F.lit(1), F.size(all_) - sentences + 1), sentences), " ")
+    before = Window.partitionBy("doc_id").orderBy("seq")
+    rows = bodies.withColumn("s", tx.sentences("own")).withColumn("beyond", F.size(plain(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))))))
+    free = F.lag((F.col("beyond") >= sentences) | ~F.col("lead"), 1, True).over(before)
+    rows = rows.withColumn("known", F.when(F.col("lead"), F.lag(tail(plain(F.col("s")))).over(before)).otherwise(F.lit(""))).withColumn("starts", ~F.col("lead") | free)
+    rows = rows.withColumn("chain", F.count_if("starts").over(before))
+    put = lambda overlap, own: F.when(F.coalesce(overlap, F.lit("")) == "", own).otherwise(F.concat_ws(" ", overlap, own))
+
+    def follow(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        overlap = F.when(x["starts"], x["known"]).otherwise(tail(plain(tx.sentences(last["body"]))))
+        return F.concat(acc, F.array(F.struct(x["seq"].alias("seq"), x["parent"].alias("parent"), put(overlap, x["own"]).alias("body"))))
+
+    none = F.array().cast("array<struct<seq:bigint,parent:string,body:string>>")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "parent", "own", "starts", "known")))
+    made = rows.groupBy("doc_id", "chain").agg(F.aggregate(ordered, none, follow).alias("chunks"))
+    return made.select("doc_id", F.inline("chunks"))
+
+
 def chunk_documents(pages: DataFrame) -> DataFrame:
-    """doc_id, chunk_id, chunk_text: the whole chunker, with parents and overlaps.
-
-    The overlap of a chunk depends on its predecessor as already prefixed, so a document is folded in order, in one
-    Arrow-fed group for each document; everything before (repeating lines, reading order) stays relational."""
-    cleaned = strip_repeating_lines(pages)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        text = "\n".join(rows.sort_values("page_no")["text"])
-        chunks = list(Chunker().chunks(text))
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "chunk_id": range(len(chunks)), "chunk_text": chunks})
-
-    kind = dict(pages.dtypes)["doc_id"]
-    return cleaned.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, chunk_id long, chunk_text string")
-
-
-class Chunker:
-    """Folds the lines of one document into labelled chunks."""
-
-    def __init__(self, most: int = 1800, carry: int = 260, overlap: int = 3):
-        import re
-
-        # Java's patterns say \z where Python's say \Z; none of these needs it.
-        python = lambda p: p.replace(r"[^\p{L}\p{N}_]", r"\W")
-        self.re = {n: re.compile(python(getattr(tx, n))) for n in ("HEADER", "SUBSECTION", "BODY_HEADER", "GUARD", "SENTENCE_BREAK", "BOILERPLATE")}
-        self.mark, self.most, self.carry, self.overlap = re.compile(f"({tx.ITEM_MARK})"), most, carry, overlap
-        self.parent = self.section = "General"
-        self.out: list[str] = []
-
-    def heads(self, line: str) -> bool:
-        return bool(self.re["HEADER"].match(line) or self.re["SUBSECTION"].match(line))
-
-    def paragraphs(self, text: str) -> Iterator[str]:
-        held: list[str] = []
-        for line in map(str.strip, text.splitlines()):
-            whole = len(" ".join(held)) >= 60 or bool(held) and self.heads(held[0])
-            if held and (self.heads(line) if line else whole):
-                yield " ".join(held)
-                held = []
-            if line:
-                held.append(line)
-        if held:
-            yield " ".join(held)
-
-    def sentences(self, text: str) -> list[str]:
-        return [s for s in map(str.strip, self.re["SENTENCE_BREAK"].split(text)) if s]
-
-    def plain(self, s: str) -> bool:
-        return (len(s) >= 40 or s.endswith(":")) and not (s.upper() == s and any(a.isupper() and b.isupper() and c.isupper() for a, b, c in zip(s, s[1:], s[2:]))) and not self.re["BOILERPLATE"].search(s)
-
-    def tail(self) -> str:
-        """The last sentences of the chunk before, without boilerplate."""
-        if not self.out:
-            return ""
-        return " ".join([s for s in self.sentences(self.out[-1].partition("] -> ")[2]) if self.plain(s)][-self.overlap :])
-
-    def emit(self, body: str) -> None:
-        self.out.append(f"[PARENT: {self.parent}] -> {body}")
-
-    def pack(self, text: str) -> list[str]:
-        if len(text) <= self.most:
-            return [text]
-        out: list[str] = []
-        held: list[str] = []
-        for s in self.sentences(text):
-            if len(s) > self.most:
-                out += [" ".join(held)] * bool(held) + [s]
-                held = []
-                continue
-            if held and len(" ".join(held)) + 1 + len(s) > self.most:
-                out.append(" ".join(held))
-                held = held[-1:] if len(held[-1]) < self.carry else []
-            held.append(s)
-        return out + [" ".join(held)] * bool(held)
-
-    def label(self, para: str) -> bool:
-        """Follows headers; whether the paragraph is nothing but a header."""
-        sub = self.re["SUBSECTION"].match(para)
-        if not (sub or self.re["HEADER"].match(para)):
-            return False
-        if len(para) < 60:
-            self.parent = para
-            return True
-        if sub:
-            self.parent = f"{self.section} {sub.group(0).strip().rstrip('.')}"
-        elif 0 < para.find(".") < 40:
-            self.parent = self.section = para[: para.find(".") + 1].strip()
-        return False
-
-    def chunks(self, text: str) -> Iterator[str]:
-        for para in self.paragraphs(text):
-            if self.label(para):
-                self.emit(para)
-            elif self.out and self.re["GUARD"].match(para):
-                self.out[-1] += " " + para
-            elif not self.listed(para):
-                for k, part in enumerate(self.pack(para)):
-                    before = "" if k or self.re["BODY_HEADER"].match(part) else self.tail()
-                    self.emit(f"{before} {part}".strip())
-        seen: set[str] = set()
-        for chunk in self.out:
-            same = " ".join(chunk.lower().split())
-            if same not in seen:
-                seen.add(same)
-                yield chunk
-
-    def listed(self, para: str) -> bool:
-        head, colon, rest = para.partition(":")
-        first, *parts = self.mark.split(rest)
-        if not colon or len(parts) < 4:
-            return False
-        prefix = f"{head.strip()}: {first.strip()}".strip()
-        before = "" if self.re["BODY_HEADER"].match(prefix) else self.tail()
-        for k in range(0, len(parts) - 1, 2):
-            if body := parts[k + 1].strip():
-                self.emit(f"{before if not k else ''} {prefix} {parts[k].strip()} {body}".strip())
-        return True
+    """doc_id, chunk_id, chunk_text: the whole chunker, with parents and overlaps, equal chunks once."""
+    paragraphs = labelled_paragraphs(filled_paragraphs(strip_repeating_lines(pages)))
+    bodies = with_overlaps(chunk_bodies(paragraphs))
+    chunks = bodies.select("doc_id", F.col("seq").alias("chunk_id"), F.concat(F.lit("[PARENT: "), "parent", F.lit("] -> "), "body").alias("chunk_text"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")) - 1
+    return first_of_equal(chunks).withColumn("chunk_id", nth.cast("long")).select("doc_id", "chunk_id", "chunk_text")

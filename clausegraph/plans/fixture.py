@@ -7,14 +7,12 @@ debt blanks, untaxed lines references. A question is a customer, its survivors a
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clausegraph.sources.scratch import kept, stamp
+
 TABLES = ("customer", "orders", "lineitem", "part", "supplier")
 
 _LINES = """SELECT c_custkey // 20 AS doc_id, c_custkey, c_name, c_acctbal, c_mktsegment, o_orderkey, o_orderstatus, o_orderpriority, o_totalprice,
@@ -88,14 +86,16 @@ def ctes(last: str) -> str:
 #: Tables that several branches of a query read; each is built once a session from those before it, as an index would be, and
 #: written, which also keeps plans short.
 KEPT = ("lines", "keyed", "edges", "unodes", "survivors", "dir_edges")
-_kept: dict[tuple[str, str, str], str] = {}
+_kept: dict[tuple, DataFrame] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the graph: lines, nodes, keyed, edges, unodes, survivors or dir_edges."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    # A table is built anew when the files it comes from have changed.
+    key = (spark.sparkContext.applicationId, sf_dir, name, stamp(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])) if name in KEPT else None
     if key in _kept:
-        return spark.read.parquet(_kept[key])
+        schema, path = _kept[key]
+        return spark.read.schema(schema).parquet(path)
     frames: dict[str, DataFrame] = {}
 
     def named(m: re.Match) -> str:
@@ -107,19 +107,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     made = spark.sql(text, **frames)
     if name not in KEPT:
         return made
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    made.write.parquet(path)
-    _kept[key] = path
-    return spark.read.parquet(path)
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder for written tables: the shared one, or in local tests a temporary one that goes with the process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="clausegraph-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    table = kept(made, name)
+    _kept[key] = (table.schema, table.scratch_path)
+    return table

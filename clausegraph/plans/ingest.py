@@ -1,4 +1,4 @@
-"""Queries over pages: a document is a source, its pages are the rows of `documents`."""
+"""Queries over pages: a document is a stretch of ids of a source, so documents keep their size as tables grow; its pages are rows of `documents`."""
 
 from __future__ import annotations
 
@@ -9,12 +9,17 @@ from clausegraph.operators import ingest
 
 from .registry import query
 
+#: The document of a row of `documents`, in DuckDB's SQL and in Spark's.
+DOCUMENT = "concat(source, '/', doc_id // 512)"
+SPARK_DOCUMENT = DOCUMENT.replace("//", "DIV")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr(SPARK_DOCUMENT).alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
 
 
-_LINES = r"""lines AS (SELECT source AS doc_id, doc_id AS page_no, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM
-  (SELECT source, doc_id, string_split_regex(regexp_replace(text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS ls FROM documents))"""
+_LINES = rf"""lines AS (SELECT document AS doc_id, doc_id AS page_no, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM
+  (SELECT {DOCUMENT} AS document, doc_id, string_split_regex(regexp_replace(text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS ls FROM documents))"""
 _REPEATED = "repeated AS (SELECT doc_id, trim(line) AS stripped, count(DISTINCT page_no) AS pages FROM lines WHERE trim(line) <> '' GROUP BY ALL HAVING count(DISTINCT page_no) >= 3)"
 
 
@@ -24,13 +29,13 @@ def repeating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LINES}, {_REPEATED}, kept AS (SELECT * FROM lines ANTI JOIN repeated ON lines.doc_id = repeated.doc_id AND trim(line) = stripped)
-  SELECT d.source AS doc_id, d.doc_id AS page_no, coalesce(t, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY pos) AS t FROM kept GROUP BY ALL) k ON k.doc_id = d.source AND k.page_no = d.doc_id""")
+  SELECT d.document AS doc_id, d.doc_id AS page_no, coalesce(t, '') AS text FROM (SELECT *, {DOCUMENT} AS document FROM documents) d LEFT JOIN (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY pos) AS t FROM kept GROUP BY ALL) k ON k.doc_id = d.document AND k.page_no = d.doc_id""")
 def strip_repeating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.strip_repeating_lines(pages(spark, sf_dir))
 
 
 #: Re2 has no look-behind, so breaks are marked first.
-_SENTENCES = r"""sents AS (SELECT doc_id, page_no, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM (SELECT source AS doc_id, doc_id AS page_no, list_filter(list_transform(
+_SENTENCES = rf"""sents AS (SELECT doc_id, page_no, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM (SELECT {DOCUMENT} AS doc_id, doc_id AS page_no, list_filter(list_transform(
   string_split(regexp_replace(text, '([.!?;])[)\]”"'']*\s+([A-Z"“”(\d])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, chr(32))), lambda x: x <> '') AS ss FROM documents))"""
 
 
@@ -47,7 +52,7 @@ def boilerplate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("boilerplate").alias("n_boilerplate"))
 
 
-@query(r"SELECT source AS doc_id, min(doc_id) AS chunk_id FROM documents GROUP BY source, trim(regexp_replace(lower(text), '\s+', ' ', 'g'))")
+@query(rf"SELECT {DOCUMENT} AS doc_id, min(documents.doc_id) AS chunk_id FROM documents GROUP BY {DOCUMENT}, trim(regexp_replace(lower(text), '\s+', ' ', 'g'))")
 def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.first_of_equal(pages(spark, sf_dir).selectExpr("doc_id", "page_no AS chunk_id", "text AS chunk_text")).select("doc_id", "chunk_id")
 

@@ -9,6 +9,7 @@ from clausegraph.functions import nodes as nx
 from clausegraph.operators import nodes
 
 from .fixture import ctes, fixture
+from .ingest import DOCUMENT, SPARK_DOCUMENT
 from .registry import query
 
 
@@ -90,11 +91,11 @@ def value_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(nodes.value_tags(text, ("days",)), ",").alias("tags"))
 
 
-@query("""WITH t AS (SELECT unnest(['eanthe onthor', 'thing with', 'edition']) AS topic), w AS (SELECT DISTINCT topic, unnest(string_split(topic, ' ')) AS word FROM t),
-  h AS (SELECT source AS doc_id, topic, doc_id AS chunk_id, count(*) AS hits FROM documents, w WHERE length(word) > 3 AND contains(lower(text), word) GROUP BY ALL)
+@query(f"""WITH t AS (SELECT unnest(['eanthe onthor', 'thing with', 'edition']) AS topic), w AS (SELECT DISTINCT topic, unnest(string_split(topic, ' ')) AS word FROM t),
+  h AS (SELECT {DOCUMENT} AS doc_id, topic, documents.doc_id AS chunk_id, count(*) AS hits FROM documents, w WHERE length(word) > 3 AND contains(lower(text), word) GROUP BY ALL)
   SELECT doc_id, topic, chunk_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY hits DESC, chunk_id DESC) AS nth FROM h) WHERE nth <= 3""")
 def gap_audit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("source AS doc_id", "doc_id AS chunk_id", "text AS chunk_text")
+    chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{SPARK_DOCUMENT} AS doc_id", "doc_id AS chunk_id", "text AS chunk_text")
     topics = chunks.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, ("eanthe onthor", "thing with", "edition")))).alias("topic"))
     return nodes.topic_chunks(chunks, topics)
 
@@ -119,11 +120,11 @@ def node_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "unodes").select("doc_id", "node_key", nx.specificity().alias("specificity"))
 
 
-_CHUNKS = "SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_id, text AS chunk_text FROM documents"
+_CHUNKS = f"SELECT {DOCUMENT} AS doc_id, row_number() OVER (PARTITION BY {DOCUMENT} ORDER BY documents.doc_id) - 1 AS chunk_id, text AS chunk_text FROM documents"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("source AS doc_id", "row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1L AS chunk_id", "text AS chunk_text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(f"{SPARK_DOCUMENT} AS doc_id", f"row_number() OVER (PARTITION BY {SPARK_DOCUMENT} ORDER BY doc_id) - 1L AS chunk_id", "text AS chunk_text")
 
 
 @query(f"WITH c AS ({_CHUNKS}) SELECT doc_id, chunk_id FROM c WHERE chunk_id % 3 <> 0")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from clausegraph.streaming import telemetry as tl
 
-from .fixture import scratch
+from clausegraph.sources.scratch import scratch
+
 from .registry import query
 
 

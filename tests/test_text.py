@@ -35,6 +35,21 @@ def tx_last(part):
     return part[part.rfind("Sentence") :]
 
 
+def test_paragraphs_fill_up(spark):
+    """Short blocks are joined up to sixty characters; headers part, and so do blocks after a header's."""
+    text = "\n".join(["2. Title", "", "short", "", "another short one", "", "y" * 50, "", "next", "x" * 70, "", "last"])
+    got = [r.text for r in ingest.filled_paragraphs(pages(spark, text)).orderBy("para").collect()]
+    assert got == ["2. Title", "short another short one " + "y" * 50, "next " + "x" * 70, "last"]
+
+
+def test_overlaps_follow_a_chain(spark):
+    """A short chunk passes on what it took from the one before."""
+    s = [f"Sentence number {k} of this text is long enough to be kept as it is." for k in range(6)]
+    bodies = spark.createDataFrame([("d", 1, "P", False, " ".join(s[:4])), ("d", 2, "P", True, s[4]), ("d", 3, "P", True, s[5]), ("d", 4, "P", False, "1. Head"), ("d", 5, "P", True, "tail")], "doc_id string, seq long, parent string, lead boolean, own string")
+    got = [r.body for r in ingest.with_overlaps(bodies).orderBy("seq").collect()]
+    assert got == [" ".join(s[:4]), " ".join([*s[1:4], s[4]]), " ".join([*s[2:5], s[5]]), "1. Head", "tail"]
+
+
 def test_chunks_carry_parents_and_overlap(spark):
     text = "\n".join([
         "1. Scope", "The vendor delivers all of the goods that are listed in the order to the customer on time.", "",
@@ -56,14 +71,37 @@ def test_chunks_carry_parents_and_overlap(spark):
     ("It ends after twenty-five days of silence.", 25, "days", "general", "word"),
     ("The deposit is 5% of it.", 5, "%", "percentage", "digit"),
 ])
-def test_numeric_facts(text, value, unit, category, source):
-    facts = numerics.numeric_facts(text)
-    assert (value, unit, category, source) in [(f["value"], f["unit"], f["category"], f["source"]) for f in facts]
+def test_numeric_facts(spark, text, value, unit, category, source):
+    facts = numerics.extract_numerics(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert (value, unit, category, source) in [(f.value, f.unit, f.category, f.source) for f in facts]
+
+
+def test_numbers_that_are_no_facts(spark):
+    texts = ["Section 12 applies.", "See Rule 45 there.", "On 5/12 it rained.", "In 1999 it was so.", "Size 640x450 pixels.", "At 12 Main Street now.", "Page 7 of it.", "a 30-day period", "Network 1 is up.", "see 2.1 for it", "Springfield IL 60601", "3.   Item", "revision 4", "2.4   TERM 5"]
+    got = numerics.extract_numerics(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).where("source = 'digit'")
+    assert [(texts[r.doc_id], r.raw) for r in got.collect()] in ([], [("2.4   TERM 5", "5")])
+
+
+def test_numbers_near_each_other(spark):
+    """Words near digits are left out, so are words near words before them, and a number said twice is one fact."""
+    far = " and some more words that fill up the space between them as far as it goes and then on"
+    texts = [
+        "We wait for thirty (30) days and then we go" + far + " for forty days, fifty days" + far + " for sixty days.", "5 (five) users; 5 (five) users",
+    ]
+    got = numerics.extract_numerics(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id", "position").collect()
+    assert [(r.doc_id, r.value, r.unit, r.source, r.written_form) for r in got] == [(0, 30.0, "days", "mixed", "thirty"), (0, 40.0, "days", "word", None), (0, 60.0, "days", "word", None), (1, 5.0, "", "mixed", "five"), (1, 5.0, "", "digit", None)]
+
+
+def test_general_shows_six_digits(spark):
+    values = [0.0, 1.0, 1.5, 30.0, 1234567.0, 123456.0, 0.00001234, 99.95, 2e9, 0.25, 1000000.0, 100.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", numerics.general(F.col("v")).alias("s")).collect()
+    assert all(r.s == f"{r.v:g}" for r in got), got
 
 
-@pytest.mark.parametrize("text", ["Section 12 applies.", "See Rule 45 there.", "On 5/12 it rained.", "In 1999 it was so.", "Size 640x450 pixels.", "At 12 Main Street now.", "Page 7 of it.", "a 30-day period", "Network 1 is up.", "see 2.1 for it"])
-def test_numbers_that_are_no_facts(text):
-    assert [f for f in numerics.numeric_facts(text) if f["source"] == "digit"] == []
+def test_sentences_around_numbers():
+    text = "First one ends. Then 5 days pass; it is so. After that. " + "x" * 700 + " 7 days"
+    marks = numerics.Sentences(text)
+    assert marks.around(text.index("5")) == "Then 5 days pass;" and set(marks.around(text.index("7 d"))[:-7]) == {"x"}
 
 
 def test_word_numbers(spark):
