@@ -34,18 +34,28 @@ COMMON = ("party", "parties", "agreement", "shall", "must")
 def triggers(nodes: DataFrame, least: int = 2) -> DataFrame:
     """From conditions to what shares `least` distinct words of four letters or more with their consequence.
 
-    A pair that shares `least` words shares one that isn't among the condition's `least` - 1 most frequent words. So pairs
-    are found by the other words, which keeps words that stand in every clause out of the join, and the frequent words are
-    then looked up for the pairs found."""
-    word = lambda text: F.explode(F.array_except(long_words(text), F.array(*map(F.lit, COMMON)))).alias("word")
-    a = nodes.where("type = 'CONDITION'").select("doc_id", F.col("node_key").alias("a"), word(F.coalesce("consequence", F.lit("")))).distinct()
-    b = nodes.where("type IN ('OBLIGATION', 'RIGHT', 'NUMERIC')").select("doc_id", F.col("node_key").alias("b"), word(nx.all_text())).distinct()
-    often = b.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("often"))
-    ranked = a.join(often, ["doc_id", "word"]).withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "a").orderBy(F.col("often").desc(), "word")))
-    pairs = ranked.where(F.col("place") >= least).join(b, ["doc_id", "word"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    frequent = ranked.where(F.col("place") < least).select("doc_id", "a", "word")
-    more = pairs.join(frequent, ["doc_id", "a"]).join(b, ["doc_id", "b", "word"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("m"))
-    found = pairs.join(more, ["doc_id", "a", "b"], "left").where(F.col("n") + F.coalesce("m", F.lit(0)) >= least)
+    Only words of the document's consequences count, and by those many clauses of a document are the same. So sets of words
+    are compared, each once: two sets that share `least` words share one that isn't among the `least` - 1 most frequent of
+    either, which pairs them, and their words decide. Clauses are put in the place of their sets at the end."""
+    own = lambda text: F.array_except(long_words(text), F.array(*map(F.lit, COMMON)))
+    united = F.array_distinct(F.flatten(F.collect_list("words"))).alias("words")
+    a = nodes.where("type = 'CONDITION'").select("doc_id", F.col("node_key").alias("a"), own(F.coalesce("consequence", F.lit(""))).alias("words"))
+    a = a.groupBy("doc_id", "a").agg(united).where(F.size("words") >= least)
+    said = a.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.array_sort("words")))).alias("said"))
+    b = nodes.where("type IN ('OBLIGATION', 'RIGHT', 'NUMERIC')").select("doc_id", F.col("node_key").alias("b"), own(nx.all_text()).alias("words"))
+    b = b.join(said, "doc_id").select("doc_id", "b", F.array_intersect("words", "said").alias("words")).where(F.size("words") >= 1)
+    b = b.groupBy("doc_id", "b").agg(united).where(F.size("words") >= least).withColumn("words", F.array_sort("words"))
+    a = a.withColumn("words", F.array_sort("words"))
+    sets = b.groupBy("doc_id", "words").agg(F.count(F.lit(1)).alias("n"))
+    often = sets.select("doc_id", "n", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.sum("n").alias("often"))
+    heads = lambda side, name: (
+        side.select("doc_id", F.col("words").alias(name), F.explode("words").alias("word")).join(often, ["doc_id", "word"], "left")
+        .groupBy("doc_id", name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("ranked"))
+        .select("doc_id", name, F.explode(F.slice("ranked", 1, F.greatest(F.lit(1), F.size("ranked") - least + 1))).alias("head")).select("doc_id", name, F.col("head.word").alias("word"))
+    )
+    met = heads(a.select("doc_id", "words").distinct(), "x").join(heads(sets, "y"), ["doc_id", "word"]).select("doc_id", "x", "y").distinct()
+    met = met.where(F.size(F.array_intersect("x", "y")) >= least)
+    found = met.join(a.withColumnRenamed("words", "x"), ["doc_id", "x"]).join(b.withColumnRenamed("words", "y"), ["doc_id", "y"])
     return found.select(*_edge("a", "b", "TRIGGERS"))
 
 

@@ -293,11 +293,9 @@ _VERDICT_OUT = ("question_id", "round(score, 9) AS score", "round(threshold, 9)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The scorer's projections are too wide for one generated method; without whole stages each is split into methods.
-    spark = spark.newSession()
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
     spell = lambda e: e.replace("//", "DIV").replace(".0", ".0D")
-    rows = asked(spark, sf_dir).withColumn("k", F.col("question_id"))
+    # Scoring a row takes far longer than moving it, and a small file is one partition.
+    rows = asked(spark, sf_dir).withColumn("k", F.col("question_id")).repartition("question_id")
     return qx.intent(rows.select("question_id", "question", "slot", *[F.expr(spell(e)).alias(n) for n, e in _DEAL.items()]))
 
 
