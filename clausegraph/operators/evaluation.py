@@ -20,6 +20,23 @@ def label(text: Column) -> Column:
     return F.when(F.contains(t, F.lit("una")), 0).when(F.contains(t, F.lit("ans")), 1).when(t.isin("true", "1", "yes"), 1).when(t.isin("false", "0", "no"), 0)
 
 
+#: The report's column of each measure of a record.
+REPORT = {
+    "slot_score": "Slot score", "path_bottleneck": "Path bottleneck", "h0": "H0 life", "chain": "Chain str", "trigger_weight": "Trig wt", "sheaf": "Sheaf cons", "w_sheaf": "Wt sheaf", "w_ricci": "Wt Ricci μ", "bridge": "Bridge scr",
+    "type_entropy": "Type H", "exact_frac": "Path cov", "distant_frac": "Mismatch", "sequence_frac": "SS frac", "party_mismatch": "Mismatch", "role_inversion": "Role inv", "placeholder_frac": "Placeholder frac", "trap_confidence": "KwTrap",
+}
+
+
+def report_records(rows: DataFrame, measures: dict[str, str]) -> DataFrame:
+    """question, expected, slot and the measures (name: type) of a report's rows, all strings; what a report doesn't have is null."""
+    text = lambda n: F.coalesce(F.col(f"`{n}`"), F.lit(""))
+    path = number(text("Path exists"))
+    own = {m: number(text(c)) for m, c in REPORT.items()}
+    own |= {"path_exists": F.coalesce(path > 0, F.lit(True)), "n_targets": F.coalesce(number(text("N targets")), F.lit(0)), "n_well": F.coalesce(number(text("N well-conn")), F.lit(0)), "has_tags": F.lit(False)}
+    slot = F.coalesce(F.nullif(F.trim(text("Slot type")), F.lit("")), F.lit("GENERAL"))
+    return rows.select(F.col("Q").alias("question"), label(text("Expected")).alias("expected"), slot.alias("slot"), *[own.get(n, F.lit(None)).cast(t).alias(n) for n, t in measures.items()])
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 

@@ -12,6 +12,7 @@ from clausegraph.operators import evidence as ev
 from clausegraph.operators import retrieval as rt
 from clausegraph.operators import scoring
 
+from . import api
 from .fixture import ctes, fixture
 from .registry import query
 from .topology import SLOTS, World
@@ -366,3 +367,12 @@ def shaped_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates, asks = _clauses(spark, sf_dir)
     verdicts = asks.select("question_id", (F.col("question_id") % 4 > 0).alias("answerable"), "answer", F.lit("").alias("reasoning"), F.lit("medium").alias("confidence"))
     return ev.response(verdicts, ev.pick_clauses(candidates, asks))
+
+
+@query()
+def ask_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions asked from end to end, without a reader: one for each document of the graph, which names a customer of it."""
+    nodes = fixture(spark, sf_dir, "unodes").drop("question_id", "score")
+    docs = api.Documents(None, nodes, fixture(spark, sf_dir, "edges"))
+    asks = nodes.select("doc_id").distinct().select(F.col("doc_id").alias("question_id"), "doc_id", F.concat(F.lit("May Customer#"), F.lpad((F.col("doc_id") * 20).cast("string"), 9, "0"), F.lit(" return the goods of the order?")).alias("question"))
+    return api.ask(docs, asks).drop("supporting_clauses")

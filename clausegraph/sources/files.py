@@ -31,6 +31,48 @@ def pdf_pages(spark: SparkSession, path: str, most: int | None = None) -> DataFr
     return files.select("path", "content").mapInPandas(read, "doc_id string, page_no long, text string")
 
 
+def pdf_glyphs(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """doc_id (the path), page_no, text, x0, x1, top of each glyph of PDF files, for `ingest.glyph_lines`; pages without glyphs have no rows.
+
+    Needs a library that gives glyph positions on the executors; raises at run time without one."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import pdfplumber
+
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                with pdfplumber.open(io.BytesIO(content)) as pdf:
+                    for k, page in enumerate(pdf.pages if most is None else pdf.pages[:most]):
+                        glyphs = page.chars
+                        yield pd.DataFrame({"doc_id": name, "page_no": k, **{c: [g[c] for g in glyphs] for c in ("text", "x0", "x1", "top")}})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    return files.select("path", "content").mapInPandas(read, "doc_id string, page_no long, text string, x0 double, x1 double, top double")
+
+
+def page_counts(spark: SparkSession, path: str, otherwise: int = 12) -> DataFrame:
+    """doc_id (the path), pages of PDF files, at least 1; `otherwise` for a file that can't be read."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        for frame in frames:
+            pages = []
+            for content in frame["content"]:
+                try:
+                    from pypdf import PdfReader
+
+                    pages.append(max(1, len(PdfReader(io.BytesIO(content)).pages)))
+                except Exception:  # a broken file, or no library: an estimate needs some number
+                    pages.append(otherwise)
+            yield pd.DataFrame({"doc_id": frame["path"], "pages": pages})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    return files.select("path", "content").mapInPandas(count, "doc_id string, pages long")
+
+
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the path), page_no, text of text files; a form feed ends a page."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), "value")

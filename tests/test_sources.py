@@ -55,19 +55,19 @@ def test_providers(spark):
     assert sorted(r.reply for r in providers.called(lambda ps: [p.upper() for p in ps], 1)(df).collect()) == ["P", "P", "Q"]
 
 
-def test_prepare_and_ask(spark):
-    text = "1. Returns\nThe customer may return all of the goods within thirty days after they were delivered to it.\n\n2. Price\nThe customer shall pay the price of the goods to the vendor before they are delivered."
-    pages = spark.createDataFrame([("d1", 0, text)], "doc_id string, page_no long, text string")
-    reply = json.dumps({"nodes": [
-        {"type": "right", "party": "Customer", "right": "return the goods within thirty days", "source_text": "The customer may return all of the goods within thirty days."},
-        {"type": "OBLIGATION", "party": "Customer", "modal": "SHALL", "action": "pay the price of the goods", "source_text": "The customer shall pay the price of the goods."},
-        {"type": "NUMERIC", "value": "", "unit": "days", "applies_to": "x"},
-    ]})
-    docs = api.prepare(pages, providers.called(lambda ps: [reply] * len(ps)))
-    assert {r.type for r in docs.nodes.collect()} == {"RIGHT", "OBLIGATION"} and docs.edges.where("etype = 'SAME_SECTION'").count() > 0
-    questions = spark.createDataFrame([(1, "d1", "Can the customer return the goods within thirty days?"), (2, "d1", "Who insures spacecraft in orbit?")], "question_id long, doc_id string, question string")
-    got = {r.question_id: r for r in api.ask(docs, questions, 5).collect()}
-    assert got[1].coverage > (got[2].coverage or 0) and got[1].evidence and got[2].verdict != "answerable"
+def test_page_counts_of_unreadable_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"no such thing")
+    assert [r.pages for r in files.page_counts(spark, str(tmp_path)).collect()] == [12]
+
+
+def test_reports_become_records(spark, tmp_path):
+    from clausegraph.operators import evaluation as ev
+    from clausegraph.operators import scoring
+
+    row = dict.fromkeys(files.EVALUATION, "n/a") | {"Q": "Is it so?", "Expected": "Unanswerable", "Slot type": "", "Slot score": "0.5", "Path exists": "0", "N targets": "3", "Mismatch": "0.25"}
+    (tmp_path / "r.csv").write_text(",".join(row) + "\n" + ",".join(row.values()) + "\n")
+    got = ev.report_records(files.evaluation_rows(spark, str(tmp_path / "r.csv")), scoring.MEASURES).first()
+    assert (got.expected, got.slot, got.slot_score, got.path_exists, got.n_targets, got.n_well, got.distant_frac, got.h0) == (0, "GENERAL", 0.5, False, 3, 0, 0.25, None)
 
 
 def test_pdf_reader_says_what_it_needs(spark, tmp_path):
