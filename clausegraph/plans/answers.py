@@ -56,15 +56,26 @@ def intent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qx.intent(asked(spark, sf_dir)).agg(*[F.count_if(f"asks_{n}").alias(n) for n in qx.WORDS])
 
 
-#: Parsed questions (verb, entity, object, numeric) and what kind each is.
-PARSED = (("must pay", "the Customer", "fees", False, "OBLIGATION"), ("means", "", "order", False, "DEFINITION"), ("ends", "", "term", True, "NUMERIC"), ("returns", "Vendor Group", "goods", False, "PARTY_SPECIFIC"), ("is", "", "meaning of goods", False, "DEFINITION"), ("requires to comply", "", "", False, "OBLIGATION"), ("exists", "", "goods", False, "GENERAL"))
+#: Parts of parsed questions; an order's number picks one of each, so that all of them meet.
+VERBS = ("must pay", "means", "ends", "returns", "is", "requires to comply", "exists", "Define the", "shall be defined", "demeaning", "", "may audit")
+ENTITIES = ("the Customer", "", "Vendor Group", "goods", "Licensee", "either party", "Wipro")
+OBJECTS = ("fees", "order", "meaning of goods", "term", "", "the definition", "spare parts")
 
 
-@query(f"SELECT o_orderkey, {_list([p[4] for p in PARSED])}[1 + o_orderkey % {len(PARSED)}] AS question_type FROM orders")
+def _any(text: str, words) -> str:
+    """SQL of whether a text holds one of the words."""
+    return "(" + " OR ".join(f"contains({text}, '" + w.replace("'", "''") + "')" for w in words) + ")"
+
+
+_PARTS = f"SELECT o_orderkey, lower({_list(VERBS)}[1 + o_orderkey % {len(VERBS)}]) AS v, lower({_list(ENTITIES)}[1 + o_custkey % {len(ENTITIES)}]) AS e, lower({_list(OBJECTS)}[1 + (o_orderkey // 3) % {len(OBJECTS)}]) AS o, o_orderkey % 11 = 0 AS number FROM orders"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN number THEN 'NUMERIC' WHEN len(list_intersect(string_split_regex(v, '\\W+'), {_list(qx.DEFINITION_VERBS)})) > 0 OR contains(o, 'definition') OR contains(o, 'meaning') THEN 'DEFINITION'
+  WHEN {_any('v', qx.DUTY_VERBS)} THEN 'OBLIGATION' WHEN e <> '' AND {_any('e', qx.PARTIES)} THEN 'PARTY_SPECIFIC' ELSE 'GENERAL' END AS question_type FROM ({_PARTS})""")
 def question_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % len(PARSED)
-    verb, entity, obj, number = (_pick([p[n] for p in PARSED], k) for n in range(4))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", qx.question_type(verb, entity, obj, number).alias("question_type"))
+    k, rows = F.col("o_orderkey"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    parts = _pick(VERBS, k % len(VERBS)), _pick(ENTITIES, F.col("o_custkey") % len(ENTITIES)), _pick(OBJECTS, F.floor(k / 3) % len(OBJECTS))
+    return rows.select("o_orderkey", qx.question_type(*parts, k % 11 == 0).alias("question_type"))
 
 
 @query(f"""SELECT question_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(question, '[''"]([^''"]{{3,}})[''"]', 1), lambda x: lower(x)), list_transform(regexp_extract_all(question, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1), lambda x: lower(x)),
@@ -75,15 +86,24 @@ def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(f"SELECT o_orderkey AS question_id, ['GENERAL', 'NUMERIC', 'RIGHT', 'OBLIGATION', 'OBLIGATION', 'CONDITION', 'DEFINITION'][1 + o_orderkey % 7] AS kind, {_list(('GENERAL', 'VALUE', 'PERMISSION', 'REQUIREMENT', 'PERMISSION', 'CONSEQUENCE', 'MEANING'))}[1 + o_orderkey % 7] || CASE WHEN o_orderkey % 7 IN (2, 3, 4, 5, 6) AND o_orderkey % 24 IN (1) THEN ',VALUE' ELSE '' END AS slots FROM orders WHERE o_orderkey % 7 > 0")
+_KINDS = ("GENERAL", "NUMERIC", "RIGHT", "OBLIGATION", "GENERAL", "CONDITION", "DEFINITION")
+_MODALS = ("shall not", "shall", "", "cannot", "may")
+_WORDED = f"""SELECT question_id, question, lower(question) AS q, {_list(_KINDS)}[1 + question_id % 7] AS kind, question_id % 9 = 0 AS number, {_list(_MODALS)}[1 + (question_id // 2) % 5] AS modal, lower({_list(VERBS)}[1 + (question_id // 3) % {len(VERBS)}]) AS v FROM {_ASKED}"""
+_BY_WORDS = (
+    ("VALUE", "number"), ("MEANING", f"({_any('v', qx.DEFINING)} OR {_any('q', qx.SLOT_WORDS['MEANING'])})"), ("PERMISSION", _any("q", qx.SLOT_WORDS["PERMISSION"])), ("ACTOR", _any("q", qx.SLOT_WORDS["ACTOR"])),
+    ("CONSEQUENCE", _any("q", qx.SLOT_WORDS["CONSEQUENCE"])), ("REQUIREMENT", f"(regexp_matches(q, '\\b(must|shall|should)\\b') OR {_any('q', qx.SLOT_WORDS['REQUIREMENT'])})"),
+)
+
+
+@query(f"""WITH w AS ({_WORDED}), s AS (SELECT *, CASE WHEN kind = 'NUMERIC' OR (number AND kind <> 'GENERAL') THEN ['VALUE'] WHEN kind = 'DEFINITION' THEN ['MEANING'] WHEN kind = 'RIGHT' THEN ['PERMISSION']
+    WHEN kind = 'OBLIGATION' AND (contains(modal, 'not') OR contains(modal, 'cannot')) THEN ['PERMISSION'] WHEN kind = 'OBLIGATION' THEN ['REQUIREMENT'] WHEN kind = 'CONDITION' THEN ['CONSEQUENCE']
+    ELSE list_filter([{', '.join(f"CASE WHEN {t} THEN '{n}' END" for n, t in _BY_WORDS)}], lambda x: x IS NOT NULL) END AS slots FROM w),
+  d AS (SELECT *, CASE WHEN regexp_matches(question, '{qx.DATE_QUESTION}') AND NOT list_contains(slots, 'VALUE') THEN list_append(slots, 'VALUE') ELSE slots END AS dated FROM s)
+  SELECT question_id, kind, CASE WHEN len(dated) = 0 THEN 'GENERAL' ELSE array_to_string(dated, ',') END AS slots FROM d""")
 def required_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slots of questions that were parsed to a kind; those of plain texts are tested one by one in tests."""
-    kinds = ("GENERAL", "NUMERIC", "RIGHT", "OBLIGATION", "OBLIGATION", "CONDITION", "DEFINITION")
-    rows = asked(spark, sf_dir).withColumn("kind", _pick(kinds, F.col("question_id") % 7)).where("kind <> 'GENERAL'")
-    # Effective dates ask for a value beside; here only "When does the term end?" does.
-    text = F.regexp_replace("question", "Effective Date", "signing")
-    modal = F.when(F.col("question_id") % 7 == 4, "shall not").otherwise("shall")
-    return rows.select("question_id", "kind", F.array_join(qx.required_slots(text, F.col("kind"), F.lit(False), modal, F.lit("")), ",").alias("slots"))
+    k = F.col("question_id")
+    rows = asked(spark, sf_dir).withColumns({"kind": _pick(_KINDS, k % 7), "modal": _pick(_MODALS, F.floor(k / 2) % 5), "v": _pick(VERBS, F.floor(k / 3) % len(VERBS))})
+    return rows.select("question_id", "kind", F.array_join(qx.required_slots("question", "kind", k % 9 == 0, "modal", "v"), ",").alias("slots"))
 
 
 _ACTIONS = (("be entitled to receive version upgrades", "receive", "version upgrades"), ("Sublicense to affiliates", "sublicense", "affiliates"), ("is allowed to audit Wipro", "audit", "wipro"), ("terminate", "terminate", ""), ("not sublicense to third parties", "not", "sublicense to third parties"))
@@ -129,7 +149,7 @@ _OK = "(" + " OR ".join(f"(qtype = '{q}' AND type IN ({', '.join(repr(k) for k i
   SELECT question_id, node_no, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_no) AS rank FROM s) WHERE rank <= 120""")
 def type_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks, e = _vectors(spark, sf_dir)
-    scored = rt.nearest(asks, e, 1 << 30).drop("rank").join(asks.select("question_id", "qtype"), "question_id").join(e.select("node_no", "type"), "node_no")
+    scored = rt.similarities(asks, e).join(asks.select("question_id", "qtype"), "question_id").join(e.select("node_no", "type"), "node_no")
     return rt.bucket_top_k(scored, 120).select("question_id", "node_no", "rank")
 
 

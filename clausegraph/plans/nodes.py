@@ -84,9 +84,18 @@ def condition_numerics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("unit IN ('days', '%')").groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("node_key").alias("first_key"), F.sum(F.expr("CAST(value AS INT)")).alias("total"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN 'days,notice_period,termination' WHEN 1 THEN 'days,payment,fee,audit' WHEN 2 THEN 'days,cure_period,breach' ELSE 'days' END AS tags FROM lineitem""")
+#: Words that name tags and words that don't; a line's text holds three of them.
+_TAGGED = (*[w for words, _ in nodes.TAG_RULES for w in words], "goods", "anvil", "nothing")
+_TAG_LIST = "[" + ", ".join(f"'{w}'" for w in _TAGGED) + "]"
+_TAG_TEXT = " || ' and ' || ".join(f"upper({_TAG_LIST}[1 + ({c}) % {len(_TAGGED)}])" for c in ("l_partkey", "l_suppkey", "l_orderkey // 7"))
+_TAG_ROWS = ", ".join(f"CASE WHEN {' OR '.join(f"contains(low, '{w}')" for w in words)} THEN [{', '.join(f"'{t}'" for t in tags)}] ELSE [] END" for words, tags in nodes.TAG_RULES)
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lower({_TAG_TEXT}) AS low FROM lineitem), a AS (SELECT *, flatten([['days'], {_TAG_ROWS}]) AS tags FROM t)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i)[1:6], ',') AS tags FROM a""")
 def value_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'Notice before Termination' WHEN 1 THEN 'invoice and audit of goods' WHEN 2 THEN 'remedy of a breach' ELSE 'nothing' END")
+    pick = lambda k: F.upper(F.get(F.array(*map(F.lit, _TAGGED)), (k % len(_TAGGED)).cast("int")))
+    text = F.concat_ws(" and ", pick(F.col("l_partkey")), pick(F.col("l_suppkey")), pick(F.floor(F.col("l_orderkey") / 7)))
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(nodes.value_tags(text, ("days",)), ",").alias("tags"))
 

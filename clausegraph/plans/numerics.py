@@ -20,18 +20,31 @@ def extract_numerics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numerics.extract_numerics(read(spark, sf_dir, "documents"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'business_days' WHEN 'N' THEN 'USD' ELSE 'fortnights' END AS unit FROM lineitem")
+#: All spellings of units and some that are none; a line picks one, and how it is written.
+_SPELLINGS = (*nx.UNIT_OF, "fortnights", "Daily", "", "day s")
+_RAW = f"[{', '.join(repr(x) for x in _SPELLINGS)}]"
+_KNOWN = ", ".join(f"('{raw}', '{unit}')" for raw, unit in nx.UNIT_OF.items())
+
+
+@query(f"""WITH t(spelled, unit) AS (VALUES {_KNOWN}), r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 3 WHEN 0 THEN upper({_RAW}[1 + l_partkey % {len(_SPELLINGS)}]) WHEN 1 THEN '  ' || {_RAW}[1 + l_partkey % {len(_SPELLINGS)}] || ' ' ELSE {_RAW}[1 + l_partkey % {len(_SPELLINGS)}] END AS raw FROM lineitem)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(unit, trim(lower(raw))) AS unit FROM r LEFT JOIN t ON spelled = trim(lower(raw))""")
 def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.expr("CASE l_returnflag WHEN 'A' THEN ' Business DAYS' WHEN 'N' THEN 'dollar ' ELSE 'Fortnights' END")
+    word = F.get(F.array(*map(F.lit, _SPELLINGS)), (F.col("l_partkey") % len(_SPELLINGS)).cast("int"))
+    raw = F.when(F.col("l_linenumber") % 3 == 0, F.upper(word)).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("  "), word, F.lit(" "))).otherwise(word)
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", nx.unit(raw).alias("unit"))
 
 
-_CONTEXT = "CASE l_linenumber % 7 WHEN 0 THEN 'Notify the carrier ' WHEN 1 THEN 'A late fee accrues ' WHEN 2 THEN 'Shipment may be cancelled ' WHEN 3 THEN 'A Discount of 5% ' WHEN 4 THEN 'The liability shall not exceed ' WHEN 5 THEN 'up to 3 percent ' ELSE 'goods ' END || l_returnflag || l_linestatus"
+#: Keywords of all categories and words of none; a line's context holds two of them.
+_HINTS = (*[w for _, words in nx.CATEGORIES for w in words], "goods", "of the", "Anvil", "nothing")
+_HINT_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _HINTS) + "]"
+_NAMED = "CASE " + " ".join("WHEN " + " OR ".join("contains(low, '" + w.replace("'", "''") + "')" for w in words) + f" THEN '{name}'" for name, words in nx.CATEGORIES) + " ELSE 'general' END"
 
 
-@query("""SELECT category, count(*) AS n FROM (SELECT CASE l_linenumber % 7 WHEN 0 THEN 'notice_period' WHEN 1 THEN 'late_charge' WHEN 2 THEN 'termination' WHEN 3 THEN 'discount' WHEN 4 THEN 'liability_cap' WHEN 5 THEN 'percentage' ELSE 'general' END AS category FROM lineitem) GROUP BY category""")
+@query(f"""WITH c AS (SELECT lower('The ' || {_HINT_LIST}[1 + l_partkey % {len(_HINTS)}] || ' x' || l_returnflag || ' ' || upper({_HINT_LIST}[1 + l_suppkey % {len(_HINTS)}])) AS low FROM lineitem) SELECT {_NAMED} AS category, count(*) AS n FROM c GROUP BY category""")
 def category_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy(nx.category(F.expr(_CONTEXT)).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    hint = lambda c: F.get(F.array(*map(F.lit, _HINTS)), (F.col(c) % len(_HINTS)).cast("int"))
+    context = F.concat(F.lit("The "), hint("l_partkey"), F.lit(" x"), "l_returnflag", F.lit(" "), F.upper(hint("l_suppkey")))
+    return read(spark, sf_dir, "lineitem").groupBy(nx.category(context).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_partkey, CAST(p_size * 1000 + p_partkey % 100 AS DOUBLE) AS value FROM part")
