@@ -35,7 +35,8 @@ SENTENCE = re.compile(rb"[.!?][\"')]?[\x20\t]*(?:\n|$)")
 
 
 def measures(text: bytes | None) -> dict[str, float | None]:
-    """What the labellers look at; None where a text is too short to tell."""
+    """What the labellers look at; None where a text is too short to tell, or where blanks may not part words: in texts mostly
+    of characters beyond ASCII, words are counted by their bytes, and measures of single words tell nothing."""
     t = text or b""
     w = t.split()
     n = len(w)
@@ -44,6 +45,9 @@ def measures(text: bytes | None) -> dict[str, float | None]:
     lines = [x for x in t.split(b"\n") if x.strip()]
     solid = max(1, len(t) - count(b" \t\n\r\x0b\x0c"))
     few = n < 20
+    wide = 2 * count(OTHER) > max(1, letters)
+    if wide:
+        n = max(n, letters // 6)
     return {
         "words": float(n),
         "upper": None if letters < 40 else count(UPPER) / letters,
@@ -51,12 +55,12 @@ def measures(text: bytes | None) -> dict[str, float | None]:
         "junk": None if not n else len(JUNK.findall(t)) / n,
         "bars": None if few else t.count(b"|") / n,
         "shouts": None if not n else t.count(b"!!") / n,
-        "distinct": None if few else len(set(w)) / math.sqrt(n),
-        "runs": None if n < 8 else sum(map(bytes.__eq__, w, w[1:])) / n,
+        "distinct": None if few or wide else len(set(w)) / math.sqrt(n),
+        "runs": None if n < 8 or wide else sum(map(bytes.__eq__, w, w[1:])) / n,
         "lines": None if len(lines) < 4 else len(set(lines)) / len(lines),
-        "ends": None if few else len(SENTENCE.findall(t)) / len(lines),
+        "ends": None if few or wide else len(SENTENCE.findall(t)) / len(lines),
         "letters": None if few else letters / solid,
-        "length": None if few else solid / n,
+        "length": None if few or wide else solid / n,
         "digits": None if few else count(DIGITS) / solid,
     }
 
