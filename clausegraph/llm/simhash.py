@@ -46,6 +46,8 @@ VARIANTS = 1 << 21  #: of an average bucket, and of a slice of a large one
 HOT = 1 << 24  #: variants beyond which a bucket is parted
 STEP = 6  #: bits by which it is parted at a time
 BESIDE = 16  #: neighbours that are compared in a long run of equal variants
+HOT_BLOCK = 1 << 22  #: as HOT, for the blocks of 256-bit fingerprints, of which a bucket holds more at a time
+COMPARED = 1 << 17  #: pairs whose fingerprints are compared at a time
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -76,7 +78,7 @@ def ball(bits: int, most: int) -> int:
     return sum(math.comb(bits, k) for k in range(most + 1))
 
 
-def dealt(rows: DataFrame, width: int, exact: int, half: int, bits: int) -> DataFrame:
+def dealt(rows: DataFrame, width: int, exact: int, half: int, bits: int, hot: int) -> DataFrame:
     """Rows (with `table` and `block`, of `width` bits) for each bucket (table, depth, prefix) that a variant falls into."""
 
     def masks(start: int, n: int, most: int):
@@ -87,7 +89,7 @@ def dealt(rows: DataFrame, width: int, exact: int, half: int, bits: int) -> Data
     done, depth = [], bits
     while True:
         made = F.element_at(F.array(*[F.lit(ball(min(width - depth, width - exact), k)) for k in range(half + 1)]), F.col("left") + 1)
-        large = now.groupBy("table", "prefix").agg(F.sum(made).alias("made")).where(F.col("made") > HOT).select("table", "prefix", F.lit(True).alias("large"))
+        large = now.groupBy("table", "prefix").agg(F.sum(made).alias("made")).where(F.col("made") > hot).select("table", "prefix", F.lit(True).alias("large"))
         if depth + STEP > width or large.isEmpty():
             done.append(now.withColumn("depth", F.lit(depth)))
             break
@@ -161,7 +163,7 @@ def links(distinct: DataFrame, half: int = HALF, bits: int | None = None) -> Dat
         a, b = links_in_bucket(fps, bucket["prefix"][0].as_py(), bucket["depth"][0].as_py(), half)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    rows = dealt(distinct.select("fp", F.lit(0).alias("table"), F.col("fp").alias("block")), 64, 0, half, bits)
+    rows = dealt(distinct.select("fp", F.lit(0).alias("table"), F.col("fp").alias("block")), 64, 0, half, bits, HOT)
     return rows.select("fp", "depth", "prefix").groupBy("depth", "prefix").applyInArrow(meet, "a long,b long")
 
 
@@ -221,20 +223,28 @@ def blocks_of(bits: np.ndarray, table: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits[:, taken_bits(table)], axis=1)).view(">u4").ravel().astype(np.uint64)
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of the edges, taken in order, that join two trees of a forest."""
-    parent: dict[int, int] = {}
+def spanning(n: int, a: np.ndarray, b: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Places of the edges over nodes 0 to n - 1, taken in order, that join two trees of a forest.
+
+    Edges are looked at in blocks; those inside a tree that stood before the block are left out at once."""
+    parent, label, kept = list(range(n)), np.arange(n), []
 
     def find(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
+        while (up := parent[x]) != x:
+            parent[x] = x = parent[up]
         return x
 
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        if (p := find(x)) != (q := find(y)):
-            parent[max(p, q)] = min(p, q)
-            kept.append(k)
+    for k in range(0, len(a), step):
+        x, y = a[k : k + step], b[k : k + step]
+        left = np.flatnonzero(label[x] != label[y])
+        for at, p, q in zip(left.tolist(), x[left].tolist(), y[left].tolist()):
+            if (p := find(p)) != (q := find(q)):
+                parent[max(p, q)] = min(p, q)
+                kept.append(k + at)
+        if len(left):
+            label = np.array(parent)
+            while (up := label[label]).tobytes() != label.tobytes():
+                label = up
     return np.array(kept, np.int64)
 
 
@@ -254,11 +264,13 @@ def candidates_in_bucket(prints: np.ndarray, table: int, prefix: int, depth: int
             found.append(np.unique(who[:-k][same] * n + who[k:][same]))
     pairs = np.unique(np.concatenate(found))
     a, b = pairs // max(1, n), pairs % max(1, n)
-    apart = np.concatenate([np.bitwise_count(prints[a[k : k + VARIANTS]] ^ prints[b[k : k + VARIANTS]]).sum(axis=1) for k in range(0, len(a), VARIANTS)] or [np.zeros(0, np.int64)]).astype(np.int64)
+    apart = np.zeros(len(a), np.int16)
+    for k in range(0, len(a), COMPARED):
+        apart[k : k + COMPARED] = np.bitwise_count(prints[a[k : k + COMPARED]] ^ prints[b[k : k + COMPARED]]).sum(axis=1)
     near = np.flatnonzero(apart <= loose)
     near = near[np.argsort(apart[near], kind="stable")]
-    near = near[spanning(a[near], b[near])]
-    return a[near], b[near], apart[near]
+    near = near[spanning(n, a[near], b[near])]
+    return a[near], b[near], apart[near].astype(np.int64)
 
 
 _PRINT = ["p0", "p1", "p2", "p3"]
@@ -321,8 +333,8 @@ def similar_components(candidates: DataFrame, sets: DataFrame, similarity: float
 
     A round tests for each node the nearest candidates (of each of `ways` classes of partners) that lead to another component
     and weren't tested; the nearest are aggregated map-side, so a node with many candidates isn't gathered anywhere."""
-    left, links_ = candidates, None
-    while True:
+    left, links_, roots = candidates, None, None
+    while roots is None or not left.isEmpty():
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("other"), "apart").union(left.select("b", "a", "apart"))
         classes = [F.min(F.when(F.pmod(F.xxhash64("other"), F.lit(ways)) == k, F.struct("apart", "other"))).alias(f"n{k}") for k in range(ways)]
         nearest = ends.groupBy("node").agg(*classes).select("node", F.explode(F.filter(F.array(*[f"n{k}" for k in range(ways)]), lambda x: x.isNotNull())).alias("n"))
@@ -332,14 +344,15 @@ def similar_components(candidates: DataFrame, sets: DataFrame, similarity: float
         tested = written(with_b.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long,b long,alike boolean"), "tested")
         good = tested.where("alike").select("a", "b")
         links_ = good if links_ is None else links_.union(good)
-        roots = written(components(links_), "roots")
+        roots = components(links_)
+        if tested.count() == left.count():
+            break
         of = lambda end: roots.select(anew("node").alias(end), F.col("root").alias(f"root_{end}"))
         untested = left.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
         last, left = left, written(untested.where(apart).select("a", "b", "apart"), "untested")
         forget(last)
-        if left.isEmpty():
-            return roots
+    return roots
 
 
 def near_dedup(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -351,7 +364,7 @@ def near_dedup(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float =
     nodes = written(marks.groupBy("shingles", "sums", *_PRINT).agg(F.min("row").alias("node"), first.alias("first")), "nodes")
     full = nodes.where("shingles > 0").select("node", *_PRINT)
     bits = max(4, min(EXACT, math.ceil(math.log2(max(1, nodes.count()) / (1 << 12)))))
-    met = dealt(full.mapInArrow(_blocks, "node long,p0 long,p1 long,p2 long,p3 long,table int,block long"), BLOCK, EXACT, 1, bits)
+    met = dealt(full.mapInArrow(_blocks, "node long,p0 long,p1 long,p2 long,p3 long,table int,block long"), BLOCK, EXACT, 1, bits, HOT_BLOCK)
     pairs = met.drop("block").groupBy("table", "depth", "prefix").applyInArrow(_meet, "a long,b long,apart long")
     candidates = written(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
     ends = candidates.select(F.col("a").alias("row")).union(candidates.select("b")).distinct()
