@@ -17,6 +17,7 @@ from clausegraph.operators import coverage, graph, kernels, retrieval
 from clausegraph.operators import topology as tp
 from clausegraph.operators.scoring import MEASURES
 from clausegraph.schema import NODE_TEXT
+from clausegraph.sources import scratch
 from clausegraph.sources.providers import Provider
 
 Q = "question_id"
@@ -82,13 +83,14 @@ def retrieved(wordings: DataFrame, nodes: DataFrame, edges: DataFrame, k: int =
     """question_id, variant, node_key, score: for each wording its nearest nodes by kind, those with its keywords, and their neighbours."""
     one = wordings.withColumn("variant", F.concat_ws("#", F.col(Q).cast("string"), "text"))
     search = vx.embed(one.withColumn("said", F.concat_ws(" ", "text", F.nullif("about", F.lit("")))), "said").withColumn("asker", F.col(Q)).withColumn(Q, F.col("variant"))
+    search = scratch.kept(search, "search")
     pairs = nodes.select("doc_id", "node_no", "type", F.col("vector").alias("_v")).join(retrieval.small(search.select(Q, "doc_id", "qtype", F.col("vector").alias("_q"))), "doc_id")
-    top = retrieval.bucket_top_k(pairs.select(Q, "node_no", "type", "qtype", vx.dot("_q", "_v").alias("score")), k).select(Q, "node_no", "score", "rank")
+    top = scratch.kept(retrieval.bucket_top_k(pairs.select(Q, "node_no", "type", "qtype", vx.dot("_q", "_v").alias("score")), k).select(Q, "node_no", "score", "rank"), "top")
     more = retrieval.keyword_augment(search, nodes, top)
     order = F.row_number().over(Window.partitionBy(Q).orderBy(F.col("hits").desc(), F.col("node_no").desc()))
     both = top.unionByName(more.select(Q, "node_no", "score", (F.lit(k) + order).alias("rank")))
     both = both.join(nodes.select("node_no", "doc_id", "node_key", "text"), "node_no").join(search.select(Q, "terms", "asker"), Q)
-    boosted = retrieval.keyword_boost(both)
+    boosted = scratch.kept(retrieval.keyword_boost(both).drop("text", "terms"), "boosted")
     far = retrieval.expanded(boosted.select(Q, "doc_id", "node_key", "rank"), edges).join(nodes.select("doc_id", "node_key"), ["doc_id", "node_key"], "left_semi")
     every = boosted.select(Q, "node_key", "score").unionByName(far.select(Q, "node_key", "score"))
     return every.join(search.select(Q, "asker", "times"), Q).select(F.col("asker").alias(Q), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"), F.col(Q).alias("text"), "node_key", "score").select(Q, F.struct("text", "time").alias("variant"), "node_key", "score")
@@ -99,7 +101,7 @@ def survivors(questions: DataFrame, found: DataFrame, nodes: DataFrame, n_querie
     held = nodes.drop("vector", "text", "node_no", "score", "votes")
     ask = questions.select(Q, "doc_id", "question")
     voted = retrieval.votes(found, F.lit(n_queries)).join(ask.select(Q, "doc_id"), Q).join(held, ["doc_id", "node_key"])
-    stay = retrieval.tiers(voted).drop("tier")
+    stay = scratch.kept(retrieval.tiers(voted).drop("tier"), "stay")
     high = ask.select(Q, "doc_id").join(held.where("priority = 'high'"), "doc_id")
     first = retrieval.injected(stay, high, retrieval.PRIORITY_SCORE)
     parties = held.where("type IN ('OBLIGATION', 'RIGHT') AND length(trim(party)) > 0").groupBy("doc_id").agg(F.collect_set(F.trim(F.lower("party"))).alias("parties"))
@@ -147,8 +149,9 @@ def measured(questions: DataFrame, kept: DataFrame, edges: DataFrame, covers: Da
     terms = F.transform(qx.keywords("question"), lambda t: t)
     ask = questions.withColumn("values", F.when(F.size(F.array_except(values, F.array("question"))) > 0, F.array_except(values, F.array("question"))).otherwise(terms)).withColumn("party", F.coalesce("party", F.lit("")))
     inside = graph.subgraph(kept, edges)
-    inside = inside.withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int")})
-    marked = tp.anchors(kept.withColumn("idx", F.col("idx").cast("int")), ask.select(Q, "slot", "values"))
+    # Some fifteen measures read these two.
+    inside = scratch.kept(inside.withColumns({"i": F.col("i").cast("int"), "j": F.col("j").cast("int")}), "inside")
+    marked = scratch.kept(tp.anchors(kept.withColumn("idx", F.col("idx").cast("int")), ask.select(Q, "slot", "values")), "marked")
     weights = marked.select(Q, "idx", F.col("score").alias("weight"))
     kernel = kernels.topology(marked, inside)
     part = {
