@@ -86,6 +86,6 @@ def _split(columns: str) -> list[str]:
 
 @query("""SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND abs(CAST(o_totalprice AS INT) % 1000 - CAST(l_extendedprice AS INT) % 1000) < 60)""")
 def band_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey", "CAST(round(o_totalprice, 0) AS INT) % 1000 AS pos")
-    right = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "CAST(round(l_extendedprice, 0) AS INT) % 1000 AS sp")
+    left = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey", "CAST(rint(o_totalprice) AS INT) % 1000 AS pos")
+    right = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "CAST(rint(l_extendedprice) AS INT) % 1000 AS sp")
     return numerics.band_anti_join(left, right, "k", "pos", "sp", 60).select(F.col("k").alias("o_orderkey"), "o_custkey")
