@@ -11,9 +11,12 @@ within the distance by construction and is verified. Components follow by star c
 
 `near_dedup` looks for texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more, at which a
 64-bit fingerprint differs in ten bits, too many for one ball. Its fingerprints have 256 bits, of which each of TABLES blocks
-takes 32 (the first EXACT of them unflipped). What meets on a variant is compared by all 256 bits (LOOSE at most); a bucket
-keeps a least spanning forest of what is near. Of these candidates, each round takes the nearest ones of every text that
-lead out of its component, verifies them on the whole sets of shingles and joins components, until none is left untested.
+takes 32 (the first EXACT of them unflipped). What meets on a variant is compared by all 256 bits (LOOSE at most). Where many
+meet, a bucket compares some of them first, keeps a least spanning forest of what is near and marks the texts of which pairs
+were left out. Of these candidates, each round takes the nearest ones of every text that lead out of its component, verifies
+them on the whole sets of shingles and joins components, until none is left untested. Then marked texts meet again: all their
+pairs of different components are compared, and what is near is verified likewise. So every pair that meets and is near is
+verified or lies within a component; such pairs of texts that are near but aren't similar enough are as many as they are.
 
 Words are runs of bytes other than space and \\t to \\r, after lower-casing A-Z; shingles of `near_groups` are SHINGLE words,
 repeats included; fewer words make one shingle. Cases: null, empty and blank texts have fingerprint 0 and are linked like any
@@ -45,7 +48,8 @@ LOOSE = 56  #: bits of 256 in which candidates differ at most; texts of similari
 VARIANTS = 1 << 21  #: of an average bucket, and of a slice of a large one
 HOT = 1 << 24  #: variants beyond which a bucket is parted
 STEP = 6  #: bits by which it is parted at a time
-BESIDE = 16  #: neighbours that are compared in a long run of equal variants
+BESIDE = 16  #: neighbours that are compared first in a long run of equal variants
+DENSE = 8  #: near pairs for each fingerprint beyond which a bucket keeps a forest of them first
 HOT_BLOCK = 1 << 22  #: as HOT, for the blocks of 256-bit fingerprints, of which a bucket holds more at a time
 COMPARED = 1 << 17  #: pairs whose fingerprints are compared at a time
 
@@ -248,14 +252,25 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, step: int = 1 << 15) -> np.nd
     return np.array(kept, np.int64)
 
 
-def candidates_in_bucket(prints: np.ndarray, table: int, prefix: int, depth: int, half: int = 1, loose: int = LOOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of near fingerprints and the bits in which they differ: a least spanning forest of what meets in the bucket.
+def apart_of(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bits in which the fingerprints at places a and b differ."""
+    out = np.zeros(len(a), np.int16)
+    for k in range(0, len(a), COMPARED):
+        out[k : k + COMPARED] = np.bitwise_count(prints[a[k : k + COMPARED]] ^ prints[b[k : k + COMPARED]]).sum(axis=1)
+    return out
 
-    In a run of equal variants each is compared with the first and with the BESIDE that follow it."""
-    n, found = len(prints), [np.zeros(0, np.int64)]
+
+def candidates_in_bucket(prints: np.ndarray, table: int, prefix: int, depth: int, half: int = 1, loose: int = LOOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of near fingerprints that meet in the bucket, the bits in which they differ, and places of those with pairs left out.
+
+    In a run of equal variants each is compared with the first and with the BESIDE that follow it; if over DENSE pairs for each
+    fingerprint are near, those of a least spanning forest are told. `others_in_bucket` tells the pairs that this leaves out."""
+    n, found, rest = len(prints), [np.zeros(0, np.int64)], np.zeros(len(prints), bool)
     for run, who in meetings(blocks_of(bits_of(prints), table), BLOCK, EXACT, half, prefix, depth):
         first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        least = np.repeat(who[first], np.diff(np.append(first, len(run))))
+        size = np.diff(np.append(first, len(run)))
+        least = np.repeat(who[first], size)
+        rest[who[np.repeat(size > BESIDE + 1, size)]] = True
         found.append(np.unique((least * n + who)[least != who]))
         for k in range(1, min(BESIDE, len(run) - 1) + 1):
             same = run[k:] == run[:-k]
@@ -264,13 +279,39 @@ def candidates_in_bucket(prints: np.ndarray, table: int, prefix: int, depth: int
             found.append(np.unique(who[:-k][same] * n + who[k:][same]))
     pairs = np.unique(np.concatenate(found))
     a, b = pairs // max(1, n), pairs % max(1, n)
-    apart = np.zeros(len(a), np.int16)
-    for k in range(0, len(a), COMPARED):
-        apart[k : k + COMPARED] = np.bitwise_count(prints[a[k : k + COMPARED]] ^ prints[b[k : k + COMPARED]]).sum(axis=1)
+    apart = apart_of(prints, a, b)
     near = np.flatnonzero(apart <= loose)
-    near = near[np.argsort(apart[near], kind="stable")]
-    near = near[spanning(n, a[near], b[near])]
-    return a[near], b[near], apart[near].astype(np.int64)
+    if len(near) > DENSE * len(np.unique(np.append(a[near], b[near]))):
+        near = near[np.argsort(apart[near], kind="stable")]
+        forest = spanning(n, a[near], b[near])
+        out = np.delete(near, forest)
+        rest[a[out]] = rest[b[out]] = True
+        near = near[forest]
+    return a[near], b[near], apart[near].astype(np.int64), np.flatnonzero(rest)
+
+
+def others_in_bucket(prints: np.ndarray, roots: np.ndarray, sizes: np.ndarray, similarity: float, table: int, prefix: int, depth: int, half: int = 1, loose: int = LOOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `candidates_in_bucket`, all near pairs of different roots; sets of these sizes must be able to have the similarity."""
+    n, found = len(prints), [np.zeros(0, np.int64)]
+    for run, who in meetings(blocks_of(bits_of(prints), table), BLOCK, EXACT, half, prefix, depth):
+        order = np.lexsort((roots[who], run))
+        run, who = run[order], who[order]
+        new_run = np.append(True, run[1:] != run[:-1])
+        new_root = new_run | np.append(True, roots[who[1:]] != roots[who[:-1]])
+        end = lambda new: np.append(np.flatnonzero(new), len(run))[np.cumsum(new)]  # noqa: E731, B023
+        after, count = end(new_root), end(new_run) - end(new_root)
+        total = np.cumsum(count)
+        for k in range(0, int(total[-1]), COMPARED):  # each with those of the run behind its own root
+            t = np.arange(k, min(k + COMPARED, int(total[-1])))
+            x = np.searchsorted(total, t, "right")
+            a, b = who[x], who[after[x] + t - (total[x] - count[x])]
+            able = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+            a, b = a[able], b[able]
+            near = apart_of(prints, a, b) <= loose
+            found.append(np.unique(np.minimum(a, b)[near] * n + np.maximum(a, b)[near]))
+    pairs = np.unique(np.concatenate(found))
+    a, b = pairs // max(1, n), pairs % max(1, n)
+    return a, b, apart_of(prints, a, b).astype(np.int64)
 
 
 _PRINT = ["p0", "p1", "p2", "p3"]
@@ -297,13 +338,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits = bits_of(_as_prints(batch))
         for table in range(TABLES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(c) for c in _PRINT], pa.array(np.full(len(bits), table, np.int32)), pa.array(blocks_of(bits, table).view(np.int64))], names=["node", *_PRINT, "table", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(bits), table, np.int32)), pa.array(blocks_of(bits, table).view(np.int64))], names=[*batch.schema.names, "table", "block"])
 
 
 def _meet(bucket: pa.Table) -> pa.Table:
+    """Candidates, and those with pairs left out as pairs with themselves."""
     nodes = bucket["node"].to_numpy()
-    a, b, apart = candidates_in_bucket(_as_prints(bucket.combine_chunks()), bucket["table"][0].as_py(), bucket["prefix"][0].as_py(), bucket["depth"][0].as_py())
-    return pa.table({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b]), "apart": apart})
+    a, b, apart, rest = candidates_in_bucket(_as_prints(bucket.combine_chunks()), *[bucket[c][0].as_py() for c in ("table", "prefix", "depth")])
+    ends = np.append(nodes[a], nodes[rest]), np.append(nodes[b], nodes[rest])
+    return pa.table({"a": np.minimum(*ends), "b": np.maximum(*ends), "apart": np.append(apart, np.zeros(len(rest), np.int64))})
+
+
+def _meet_others(similarity: float):
+    def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.combine_chunks()
+        nodes, roots, sizes = (bucket[c].to_numpy() for c in ("node", "root", "shingles"))
+        a, b, apart = others_in_bucket(_as_prints(bucket), roots, sizes, similarity, *[bucket[c][0].as_py() for c in ("table", "prefix", "depth")])
+        return pa.table({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b]), "apart": apart})
+
+    return run
 
 
 def _sets(shingle: int):
@@ -328,31 +381,40 @@ def _similar(similarity: float):
     return run
 
 
-def similar_components(candidates: DataFrame, sets: DataFrame, similarity: float, ways: int = 4) -> DataFrame:
-    """node, root: components by those of the candidates (a, b, apart) that have at least this similarity.
+def similar_components(candidates: DataFrame, sets: DataFrame, similarity: float, ways: int = 4, before: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """node, root: components by those of the candidates (a, b, apart) that have at least this similarity; and what was tested.
 
     A round tests for each node the nearest candidates (of each of `ways` classes of partners) that lead to another component
-    and weren't tested; the nearest are aggregated map-side, so a node with many candidates isn't gathered anywhere."""
-    left, links_, roots = candidates, None, None
+    and weren't tested; the nearest are aggregated map-side, so a node with many candidates isn't gathered anywhere. As each round
+    shuffles the sets, all that are left are tested once they are at most twice those of the last round, or fewer than one in ten
+    of those were alike. `before` is what a call for other candidates gave, none of which are given again."""
+    left, (roots, tested_), every = candidates, before or (None, None), False
     while roots is None or not left.isEmpty():
-        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other"), "apart").union(left.select("b", "a", "apart"))
-        classes = [F.min(F.when(F.pmod(F.xxhash64("other"), F.lit(ways)) == k, F.struct("apart", "other"))).alias(f"n{k}") for k in range(ways)]
-        nearest = ends.groupBy("node").agg(*classes).select("node", F.explode(F.filter(F.array(*[f"n{k}" for k in range(ways)]), lambda x: x.isNotNull())).alias("n"))
-        pairs = nearest.select(F.least("node", "n.other").alias("a"), F.greatest("node", "n.other").alias("b")).distinct()
+        if every:
+            pairs = left.select("a", "b")
+        else:
+            ends = left.select(F.col("a").alias("node"), F.col("b").alias("other"), "apart").union(left.select("b", "a", "apart"))
+            classes = [F.min(F.when(F.pmod(F.xxhash64("other"), F.lit(ways)) == k, F.struct("apart", "other"))).alias(f"n{k}") for k in range(ways)]
+            nearest = ends.groupBy("node").agg(*classes).select("node", F.explode(F.filter(F.array(*[f"n{k}" for k in range(ways)]), lambda x: x.isNotNull())).alias("n"))
+            pairs = nearest.select(F.least("node", "n.other").alias("a"), F.greatest("node", "n.other").alias("b")).distinct()
         with_a = pairs.join(sets.select(anew("node").alias("a"), F.col("hashes").alias("x")), "a")
         with_b = with_a.join(sets.select(anew("node").alias("b"), F.col("hashes").alias("y")), "b")
         tested = written(with_b.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long,b long,alike boolean"), "tested")
-        good = tested.where("alike").select("a", "b")
-        links_ = good if links_ is None else links_.union(good)
-        roots = components(links_)
-        if tested.count() == left.count():
+        tested_ = tested if tested_ is None else tested_.union(tested)
+        roots = components(tested_.where("alike").select("a", "b"))
+        done = tested.count()
+        if done == left.count():
             break
-        of = lambda end: roots.select(anew("node").alias(end), F.col("root").alias(f"root_{end}"))
-        untested = left.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-        last, left = left, written(untested.where(apart).select("a", "b", "apart"), "untested")
+        last, left = left, written(apart_by(left.join(tested.select("a", "b"), ["a", "b"], "left_anti"), roots).select("a", "b", "apart"), "untested")
         forget(last)
-    return roots
+        every = left.count() <= 2 * done or tested.where("alike").count() * 10 < done
+    return roots, tested_
+
+
+def apart_by(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components."""
+    of = lambda end: roots.select(anew("node").alias(end), F.col("root").alias(f"root_{end}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -364,12 +426,31 @@ def near_dedup(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float =
     nodes = written(marks.groupBy("shingles", "sums", *_PRINT).agg(F.min("row").alias("node"), first.alias("first")), "nodes")
     full = nodes.where("shingles > 0").select("node", *_PRINT)
     bits = max(4, min(EXACT, math.ceil(math.log2(max(1, nodes.count()) / (1 << 12)))))
-    met = dealt(full.mapInArrow(_blocks, "node long,p0 long,p1 long,p2 long,p3 long,table int,block long"), BLOCK, EXACT, 1, bits, HOT_BLOCK)
-    pairs = met.drop("block").groupBy("table", "depth", "prefix").applyInArrow(_meet, "a long,b long,apart long")
-    candidates = written(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
-    ends = candidates.select(F.col("a").alias("row")).union(candidates.select("b")).distinct()
-    sets = written(own.join(small(ends), "row", "left_semi").select("row", "text").mapInArrow(_sets(shingle), "node long,hashes binary"), "sets")
-    roots = similar_components(candidates, sets, similarity)
+    prints = ",".join(f"{c} long" for c in _PRINT)
+
+    def meet(rows: DataFrame, more: str, how) -> DataFrame:
+        """a, b, apart: what `how` finds in the buckets of the rows (node, fingerprint and further columns)."""
+        met = dealt(rows.mapInArrow(_blocks, f"node long,{prints}{more},table int,block long"), BLOCK, EXACT, 1, bits, HOT_BLOCK)
+        return met.drop("block").groupBy("table", "depth", "prefix").applyInArrow(how, "a long,b long,apart long").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        return written(own.join(small(ends), "row", "left_semi").select("row", "text").mapInArrow(_sets(shingle), "node long,hashes binary"), "sets")
+
+    met = written(meet(full, "", _meet), "met")
+    candidates = written(met.where("a < b"), "candidates")
+    sets = sets_of(candidates)
+    roots, tested = similar_components(candidates, sets, similarity)
+    forget(sets)
+    marked = nodes.join(met.where("a = b").select(F.col("a").alias("node")), "node").select("node", *_PRINT, "shingles")
+    if not marked.isEmpty():
+        marked = marked.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", *_PRINT, "shingles", F.coalesce("root", "node").alias("root"))
+        others = meet(marked, ",shingles long,root long", _meet_others(similarity))
+        others = written(others.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "others")
+        sets = sets_of(others)
+        roots, _ = similar_components(others, sets, similarity, before=(roots, tested))
+        forget(sets)
+    forget(met)
     rooted = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     gone = written(marks.select("row").join(stay, "row", "left_anti"), "gone")
