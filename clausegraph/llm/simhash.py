@@ -15,8 +15,10 @@ takes 32 (the first EXACT of them unflipped). What meets on a variant is compare
 meet, a bucket compares some of them first, keeps a least spanning forest of what is near and marks the texts of which pairs
 were left out. Of these candidates, each round takes the nearest ones of every text that lead out of its component, verifies
 them on the whole sets of shingles and joins components, until none is left untested. Then marked texts meet again: all their
-pairs of different components are compared, and what is near is verified likewise. So every pair that meets and is near is
-verified or lies within a component; such pairs of texts that are near but aren't similar enough are as many as they are.
+pairs of different components are compared, and a forest of those that are near joins texts to clumps. The sets of a clump meet in
+one place, or in blocks of CLUMP bytes two at a time, where those of all pairs that could be similar are compared and a forest of
+those that are is told. So every pair that meets and is near is verified or lies within a component, and no step has a row for
+each pair; sets of a clump of k blocks are sent k times.
 
 Words are runs of bytes other than space and \\t to \\r, after lower-casing A-Z; shingles of `near_groups` are SHINGLE words,
 repeats included; fewer words make one shingle. Cases: null, empty and blank texts have fingerprint 0 and are linked like any
@@ -52,6 +54,7 @@ BESIDE = 16  #: neighbours that are compared first in a long run of equal varian
 DENSE = 8  #: near pairs for each fingerprint beyond which a bucket keeps a forest of them first
 HOT_BLOCK = 1 << 22  #: as HOT, for the blocks of 256-bit fingerprints, of which a bucket holds more at a time
 COMPARED = 1 << 17  #: pairs whose fingerprints are compared at a time
+CLUMP = 8 << 20  #: bytes of sets of a block of a clump
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -291,8 +294,9 @@ def candidates_in_bucket(prints: np.ndarray, table: int, prefix: int, depth: int
 
 
 def others_in_bucket(prints: np.ndarray, roots: np.ndarray, sizes: np.ndarray, similarity: float, table: int, prefix: int, depth: int, half: int = 1, loose: int = LOOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As `candidates_in_bucket`, all near pairs of different roots; sets of these sizes must be able to have the similarity."""
-    n, found = len(prints), [np.zeros(0, np.int64)]
+    """As `candidates_in_bucket`, a spanning forest of all near pairs of different roots; sets of these sizes must be able to have
+    the similarity. Pairs that the forest joins already aren't compared."""
+    n, kept, tree = len(prints), [np.zeros(0, np.int64)], np.arange(len(prints))
     for run, who in meetings(blocks_of(bits_of(prints), table), BLOCK, EXACT, half, prefix, depth):
         order = np.lexsort((roots[who], run))
         run, who = run[order], who[order]
@@ -305,15 +309,82 @@ def others_in_bucket(prints: np.ndarray, roots: np.ndarray, sizes: np.ndarray, s
             t = np.arange(k, min(k + COMPARED, int(total[-1])))
             x = np.searchsorted(total, t, "right")
             a, b = who[x], who[after[x] + t - (total[x] - count[x])]
-            able = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+            able = (tree[a] != tree[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
             a, b = a[able], b[able]
             near = apart_of(prints, a, b) <= loose
-            found.append(np.unique(np.minimum(a, b)[near] * n + np.maximum(a, b)[near]))
-    pairs = np.unique(np.concatenate(found))
+            a, b = a[near], b[near]
+            if len(a):
+                forest = spanning(n, tree[a], tree[b])
+                kept.append(np.minimum(a, b)[forest] * n + np.maximum(a, b)[forest])
+                tree = joined(tree, tree[a[forest]], tree[b[forest]])
+    pairs = np.sort(np.concatenate(kept))
     a, b = pairs // max(1, n), pairs % max(1, n)
     return a, b, apart_of(prints, a, b).astype(np.int64)
 
 
+def joined(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tree (named by a place) of each place, once edges join those named in a and b."""
+    up = list(range(len(tree)))
+
+    def find(x: int) -> int:
+        while (above := up[x]) != x:
+            up[x] = x = up[above]
+        return x
+
+    for x, y in zip(map(find, a.tolist()), b.tolist()):
+        y = find(y)
+        up[max(x, y)] = min(x, y)
+    label = np.array(up)
+    while ((over := label[label]) != label).any():
+        label = over
+    return label[tree]
+
+
+def alike_in_clump(sets: list[np.ndarray], roots: np.ndarray, similarity: float, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sets of at least this similarity that join what all such pairs of different roots (and sides, if given) join.
+
+    Two such sets have one of their rarest elements in common: of n, all but similarity * n, and one. So only sets that share
+    one of those are compared, each with those before it that aren't joined to it yet."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    _, element, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    element = rank[element]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((element, owner))
+    element = element[order]
+    rare = np.arange(len(element)) - (ends - sizes)[owner] <= (sizes - np.ceil(similarity * sizes - 1e-9))[owner]
+    posts = np.lexsort((owner[rare], element[rare]))
+    held, of = owner[rare][posts], element[rare][posts]
+    tree = np.unique(roots, return_index=True)[1][np.unique(roots, return_inverse=True)[1]]
+    kept, mine = [], np.zeros(len(often), bool)
+    for x in range(1, len(sets)):
+        own = element[ends[x] - sizes[x] : ends[x]]
+        first = own[rare[ends[x] - sizes[x] : ends[x]]]
+        starts, stops = np.searchsorted(of, first), np.searchsorted(of, first, "right")
+        met = [held[i:j] for i, j in zip(starts.tolist(), stops.tolist()) if j > i + 1]
+        if not met:
+            continue
+        y = np.unique(np.concatenate(met))
+        y = y[y < x]
+        y = y[(tree[y] != tree[x]) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]))]
+        if sides is not None:
+            y = y[sides[y] != sides[x]]
+        if not len(y):
+            continue
+        mine[own] = True
+        starts = np.cumsum(sizes[y]) - sizes[y]
+        both = np.add.reduceat(mine[element[np.repeat(ends[y] - sizes[y] - starts, sizes[y]) + np.arange(sizes[y].sum())]], starts, dtype=np.int64)
+        mine[own] = False
+        for z in y[both >= similarity * (sizes[y] + sizes[x] - both)].tolist():
+            if tree[z] != tree[x]:
+                kept.append((z, x))
+                tree[tree == tree[x]] = tree[z]
+    found = np.array(kept, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
 _PRINT = ["p0", "p1", "p2", "p3"]
 
 
@@ -359,6 +430,16 @@ def _meet_others(similarity: float):
     return run
 
 
+def _meet_clump(similarity: float):
+    def run(clump: pa.Table) -> pa.Table:
+        nodes, roots, blocks = (clump[c].to_numpy() for c in ("node", "root", "block"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in clump["hashes"]]
+        a, b = alike_in_clump(sets, roots, similarity, None if clump["lo"][0].as_py() == clump["hi"][0].as_py() else blocks)
+        return pa.table({"a": nodes[a], "b": nodes[b]})
+
+    return run
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,14 +462,14 @@ def _similar(similarity: float):
     return run
 
 
-def similar_components(candidates: DataFrame, sets: DataFrame, similarity: float, ways: int = 4, before: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """node, root: components by those of the candidates (a, b, apart) that have at least this similarity; and what was tested.
+def similar_components(candidates: DataFrame, sets: DataFrame, similarity: float, ways: int = 4) -> tuple[DataFrame, DataFrame]:
+    """node, root: components by those of the candidates (a, b, apart) that have at least this similarity; and those (a, b).
 
     A round tests for each node the nearest candidates (of each of `ways` classes of partners) that lead to another component
     and weren't tested; the nearest are aggregated map-side, so a node with many candidates isn't gathered anywhere. As each round
     shuffles the sets, all that are left are tested once they are at most twice those of the last round, or fewer than one in ten
-    of those were alike. `before` is what a call for other candidates gave, none of which are given again."""
-    left, (roots, tested_), every = candidates, before or (None, None), False
+    of those were alike."""
+    left, roots, tested_, every = candidates, None, None, False
     while roots is None or not left.isEmpty():
         if every:
             pairs = left.select("a", "b")
@@ -408,7 +489,7 @@ def similar_components(candidates: DataFrame, sets: DataFrame, similarity: float
         last, left = left, written(apart_by(left.join(tested.select("a", "b"), ["a", "b"], "left_anti"), roots).select("a", "b", "apart"), "untested")
         forget(last)
         every = left.count() <= 2 * done or tested.where("alike").count() * 10 < done
-    return roots, tested_
+    return roots, tested_.where("alike").select("a", "b")
 
 
 def apart_by(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -417,6 +498,17 @@ def apart_by(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
 
 
+def similar_in_clumps(members: DataFrame, sets: DataFrame, similarity: float, most: int = CLUMP) -> DataFrame:
+    """a, b: pairs of nodes whose sets have at least this similarity, which join what all such pairs of a clump join.
+
+    members: node, root, shingles, clump. Pairs of one root are left out. A clump of over `most` bytes of sets is dealt into blocks."""
+    blocks = members.groupBy("clump").agg(F.expr(f"CAST(ceil(sum(shingles) * 8 / {most}) AS INT)").alias("blocks"))
+    dealt_ = members.join(blocks, "clump").withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)")).join(sets.select(anew("node"), "hashes"), "node")
+    pairs = dealt_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = pairs.select("clump", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "hashes")
+    return rows.groupBy("clump", "lo", "hi").applyInArrow(_meet_clump(similarity), "a long,b long")
+
+
 def near_dedup(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each component of similar texts, with all its columns: the one of the least id, a null id last."""
     src = numbered(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
@@ -440,16 +532,19 @@ def near_dedup(docs: DataFrame, shingle: int = COPY_SHINGLE, similarity: float =
     met = written(meet(full, "", _meet), "met")
     candidates = written(met.where("a < b"), "candidates")
     sets = sets_of(candidates)
-    roots, tested = similar_components(candidates, sets, similarity)
+    roots, alike = similar_components(candidates, sets, similarity)
     forget(sets)
     marked = nodes.join(met.where("a = b").select(F.col("a").alias("node")), "node").select("node", *_PRINT, "shingles")
     if not marked.isEmpty():
         marked = marked.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", *_PRINT, "shingles", F.coalesce("root", "node").alias("root"))
-        others = meet(marked, ",shingles long,root long", _meet_others(similarity))
-        others = written(others.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "others")
+        others = written(meet(marked, ",shingles long,root long", _meet_others(similarity)), "others")
+        clumps = components(others).select(F.col("node").alias("member"), F.col("root").alias("clump"))
+        members = written(marked.join(clumps, F.col("node") == F.col("member")).select("node", "root", "shingles", "clump"), "members")
         sets = sets_of(others)
-        roots, _ = similar_components(others, sets, similarity, before=(roots, tested))
-        forget(sets)
+        more = written(similar_in_clumps(members, sets, similarity), "more")
+        roots = components(alike.union(more))
+        for done in (sets, others, members, more):
+            forget(done)
     forget(met)
     rooted = nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
